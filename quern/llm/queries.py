@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .mixing import mix
+from .packing import pack
+from .sharding import shard_documents
 from .simhash import hex_of, near_duplicates
 from .url_filter import url_verdicts
 
@@ -30,6 +32,15 @@ BLOCKED_HOSTS = (
 )
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), payload="ids_crc32")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), 16)
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -95,6 +106,8 @@ FROM best
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_packing": op3_packing,
+    "op4_sharding": op4_sharding,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
