@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .common import table
 from .embedding_dedup import near_vectors
 from .mixing import mix
 from .packing import pack
 from .sharding import shard_documents
 from .simhash import hex_of, near_duplicates
+from .token_counts import section_tokens
 from .url_filter import url_verdicts
 
 URL_RULES = (
@@ -33,6 +35,12 @@ BLOCKED_HOSTS = (
 )
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token counts for the line of its first character."""
+    found = section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="first")
+    return found.select("doc_id", "section", "start", "end", F.col("tokens").cast("long").alias("tokens"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text"), payload="ids_crc32")
 
@@ -46,6 +54,10 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
@@ -125,9 +137,11 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_embedding_dedup": op5_embedding_dedup,
+    "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
     "op10_url_filters": op10_url_filters,
