@@ -47,7 +47,7 @@ def hash_bucket(key: Column, bits: int) -> Column:
     return F.shiftright(key, 64 - bits).cast("int") if bits else F.lit(0)
 
 
-def bits_for(n: int, rows_per_bucket: int = 50_000, most: int = 20) -> int:
+def bits_for(n: int, rows_per_bucket: int = 8_192, most: int = 20) -> int:
     """Bits for about rows_per_bucket rows in a bucket."""
     return max(0, min(most, (max(1, n // rows_per_bucket) - 1).bit_length()))
 

@@ -12,9 +12,11 @@ from .common import table
 from .embedding_dedup import near_vectors
 from .mixing import mix
 from .packing import pack
+from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .simhash import hex_of, near_duplicates
 from .token_counts import section_tokens
+from .training import held_out
 from .url_filter import url_verdicts
 
 URL_RULES = (
@@ -35,6 +37,13 @@ BLOCKED_HOSTS = (
 )
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, field).withColumn("held_out", held_out(F.col("doc_id")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document; a token counts for the line of its first character."""
     found = section_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), rule="first")
@@ -137,6 +146,7 @@ FROM v JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_counts": op2_token_counts,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
