@@ -1,8 +1,70 @@
-"""The corpus pipeline (stages are added as their operators are built)."""
+"""Corpus pipeline: quality, toxicity, near-duplicates, mixing, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept. The
+classifiers learn from the tables in sf_dir, on rows that are not held out. The mix takes a document as often as its
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.llm.common import checkpoint_folder, table
+from quern.llm.mixing import mix, mixed_rows
+from quern.llm.packing import pack
+from quern.llm.quality import fit_quality, score_quality
+from quern.llm.simhash import keep_one
+from quern.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of quality 0.7 or more."""
+    field = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_quality(docs, field, to="_score").filter("_score >= 0.7").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of toxicity under 0.3."""
+    machine = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, machine, to="_score").filter("_score < 0.3").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: 64-bit fingerprints of 5-word shingles that differ in 4 bits at most."""
+    return keep_one(docs, shingle=5).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources' documents at their target weights, repeated or cut at the budgets."""
+    mixed = mixed_rows(mix(docs)).withColumn("n_chars", F.length("text").cast("long"))
+    return mixed.select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each row goes, in sequences of 1024 tokens."""
+    return pack(docs.select("doc_id", "text"), payload="ids_crc32")
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("toxicity", toxicity),
+    ("simhash near-dedup", near_duplicates),
+    ("mixing to target weights", mixing),
+    ("best-fit packing", packing),
+]
+
+#: The classifiers and the tokenizer are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as Parquet to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for n, (_, stage) in enumerate(STAGES):
+        out = f"{folder}/{n}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
+    return docs

@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; one of this machine where none is named, as in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the folder in spark.checkpoint.dir, which all executors share.
+    """The rows of df, written once to the checkpoint folder.
 
-    Later reads, also those after a lost executor, come from there and not from the plan above it. A folder of
-    this machine is used only where the session names none, as in tests.
+    Later reads, also those after a lost executor, come from there and not from the plan above it.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -16,6 +16,7 @@ from .quality import fit_quality, score_quality
 from .sharding import shard_documents
 from .simhash import hex_of, near_duplicates
 from .token_counts import section_tokens
+from .toxicity import fit_toxicity, score_toxicity
 from .training import held_out
 from .url_filter import url_verdicts
 
@@ -109,6 +110,13 @@ FROM p
 """
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = score_toxicity(docs, machine).withColumn("held_out", held_out(F.col("doc_id")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
 
@@ -154,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ann": op6_ann,
     "op7_simhash": op7_simhash,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
 }
 ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}

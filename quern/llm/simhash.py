@@ -25,7 +25,7 @@ from itertools import accumulate
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
@@ -56,14 +56,17 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """(id, fp): the signed fingerprint of each document."""
-
+def fingerprint_of(text: Column, shingle: int) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x, shingle) for x in texts], np.uint64).view(np.int64))
 
-    return docs.select(F.col(doc_id), of(text).alias("fp"))
+    return of(text)
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """(id, fp): the signed fingerprint of each document."""
+    return docs.select(F.col(doc_id), fingerprint_of(F.col(text), shingle).alias("fp"))
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -231,18 +234,13 @@ def hex_of(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """The documents with one of each group of near-duplicates left: that of the smallest id (ties: of a text hash).
 
     Texts are not shuffled: the rows that go, at most LOSERS of them, are broadcast; more are joined by a shuffle.
     """
     tie = F.xxhash64(text)
-
-    @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
-
-    marked = checkpointed(docs.select(F.col(doc_id).alias("_id"), tie.alias("_tie"), of(text).alias("fp")))
+    marked = checkpointed(docs.select(F.col(doc_id).alias("_id"), tie.alias("_tie"), fingerprint_of(F.col(text), shingle).alias("fp")))
     rows = components_of(marked, "_id", most)
     rows = checkpointed(rows.groupBy("_id", "_tie", "fp", "component_id").agg(F.count(F.lit(1)).alias("n")))
     order = F.struct(F.col("_id").isNull().alias("z"), "_id", "_tie", "fp")
@@ -252,7 +250,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most:
     gone = judged.filter(~F.col("_stays")).select("_id", "_tie")
     again = judged.filter(F.col("_stays") & (F.col("n") > 1)).select("_id", "_tie")
     same = lambda other: (F.col(doc_id).eqNullSafe(other["_id"])) & (F.col("_t") == other["_tie"])
-    # a null text has no fingerprint of its own but a hash of its own; both sides hash alike
     left = docs.withColumn("_t", tie)
     left = left.join(F.broadcast(gone) if gone.count() <= LOSERS else gone, same(gone), "left_anti")
     if again.isEmpty():

@@ -18,24 +18,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
     Only rows that are not held out, with a label, and with a text of 1 to `longest` characters are taken, so that the
     sample holds 2 * per_class * longest characters at most. A document that is labelled repeatedly counts as 1 if any
-    of its labels is.
+    of its labels is. attrs["of_class"] has the number of labelled documents of each class.
     """
     known = labels.filter(~held_out(F.col(doc_id)) & F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.max(label) > 0).cast("int").alias("y"))
     order = [F.xxhash64(doc_id), F.col(doc_id)]
-    ids = None
+    ids: DataFrame | None = None
     for y in (0, 1):  # some are too long: twice as many ids as rows
         part = known.filter(F.col("y") == y).orderBy(*order).limit(2 * per_class)
         ids = part if ids is None else ids.unionByName(part)
     short = docs.select(doc_id, text).filter(F.length(text).between(1, longest))
     rows = short.join(F.broadcast(ids), doc_id).groupBy(doc_id, "y").agg(F.min(text).alias("text"))  # 4 * per_class ids at most
     parts = [rows.filter(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]
-    return parts[0].unionByName(parts[1]).select("text", "y").toPandas()
+    sample = parts[0].unionByName(parts[1]).select("text", "y").toPandas()
+    sample.attrs["of_class"] = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sample
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
-    """Weights (the last is the intercept) of a ridge logistic regression, each class weighing alike."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float = 0.5, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+    """Weights (the last is the intercept) of a ridge logistic regression, in which class 1 has that share of the weight."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y <= 0).sum()))
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y <= 0).sum()))
     w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
     penalty[-1, -1] = 1e-6
     for _ in range(rounds):
