@@ -1,7 +1,9 @@
 """Corpus pipeline: quality, toxicity, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept. The
-classifiers learn from the tables in sf_dir, on rows that are not held out. The mix takes a document as often as its
+classifiers learn from the tables in sf_dir, on rows that are not held out. Near-duplicates are those of operator 7:
+fingerprints of 4-word shingles at 4 bits or fewer. The mix takes a document as often as its source's epochs say and
+cuts the text in which a source's budget ends, so packing may see an id several times.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: 64-bit fingerprints of 5-word shingles that differ in 4 bits at most."""
-    return keep_one(docs, shingle=5).select(*docs.columns)
+    """One document of each group that links between fingerprints join."""
+    return keep_one(docs).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
