@@ -1 +1 @@
-
+"""Column expressions: tokens, text cleaning, predicates, scores."""

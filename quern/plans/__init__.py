@@ -1 +1 @@
-
+"""Declared pipelines, and the queries registered over the test tables."""

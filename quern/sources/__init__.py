@@ -1 +1 @@
-
+"""Readers and writers of document collections."""

@@ -1 +1 @@
-
+"""Incremental forms: resumable n-gram queries and event windows."""
