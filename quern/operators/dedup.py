@@ -68,7 +68,7 @@ def personal_spans(text: Column) -> Column:
         ends = F.aggregate(
             F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"))),
             F.array().cast("array<struct<kind:string,start:int,end:int>>"),
-            lambda done, x: F.concat(done, F.array(F.struct(F.lit(kind).alias("kind"), (F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + x["g"]).alias("start"), (F.coalesce(F.element_at(done, -1)["end"], F.lit(0)) + x["g"] + x["m"]).alias("end")))),
+            lambda done, x: F.concat(done, F.array(F.struct(F.lit(kind).alias("kind"), (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["g"]).alias("start"), (F.coalesce(F.try_element_at(done, F.lit(-1))["end"], F.lit(0)) + x["g"] + x["m"]).alias("end")))),
         )
         parts.append(F.when(F.size(found) > 0, ends).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>")))
     return F.concat(*parts)

@@ -236,7 +236,7 @@ def sample_by_source(t):
 
 
 @query(
-    "SELECT v.lang, v.quota::INTEGER AS quota, least(count(d.doc_id), v.quota) AS taken, count(d.doc_id) >= v.quota AS success FROM (VALUES ('en', 20), ('it', 3)) v(lang, quota) LEFT JOIN documents d USING (lang) GROUP BY ALL"
+    "SELECT v.lang, v.quota::INTEGER AS quota, least(count(d.doc_id), v.quota) AS taken, count(d.doc_id) >= v.quota AS success FROM (VALUES ('en', 20), ('it', 3)) v(lang, quota) LEFT JOIN documents d USING (lang) GROUP BY v.lang, v.quota"
 )
 def sample_quotas(t):
     quotas = {"en": 20, "it": 3}
@@ -324,9 +324,9 @@ a AS (SELECT *, docs // chunks AS q, docs % chunks AS m FROM o),
 h AS (SELECT *, CASE WHEN r < m * (q + 1) THEN r // (q + 1) ELSE m + (r - m * (q + 1)) // q END AS chunk FROM a),
 f AS (SELECT *, sum(n) OVER (PARTITION BY chunk ORDER BY doc_id) - n AS first, row_number() OVER (PARTITION BY chunk ORDER BY doc_id) - 1 AS doc FROM h),
 l AS (SELECT chunk, sum(n) AS total FROM f GROUP BY chunk),
-s AS (SELECT f.chunk, f.doc, f.first + e.pos AS at, e.id, l.total FROM f JOIN e USING (doc_id) JOIN l USING (chunk)),
-x AS (SELECT chunk, (at // 512) AS example, at % 512 AS i, id, doc FROM s WHERE at < (total - 1) // 512 * 512),
-y AS (SELECT chunk, ((at - 1) // 512) AS example, id FROM s WHERE at >= 1 AND at <= (total - 1) // 512 * 512),
+s AS (SELECT f.chunk, f.doc, f.first + e.pos AS tk, e.id, l.total FROM f JOIN e USING (doc_id) JOIN l USING (chunk)),
+x AS (SELECT chunk, (tk // 512) AS example, tk % 512 AS i, id, doc FROM s WHERE tk < (total - 1) // 512 * 512),
+y AS (SELECT chunk, ((tk - 1) // 512) AS example, id FROM s WHERE tk >= 1 AND tk <= (total - 1) // 512 * 512),
 p AS (SELECT chunk::INTEGER AS chunk, example::INTEGER AS example, md5(string_agg(id, ',' ORDER BY i)) AS inputs_md5, count(DISTINCT doc) AS docs, min(doc)::INTEGER AS first_doc FROM x GROUP BY ALL),
 z AS (SELECT chunk::INTEGER AS chunk, example::INTEGER AS example, sum(id)::BIGINT AS target_sum FROM y GROUP BY ALL)"""
 

@@ -21,15 +21,20 @@ def read_stream(spark: SparkSession, path: str, schema: str | T.StructType) -> D
     return spark.readStream.schema(schema).parquet(path)
 
 
+def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """A stream's event time with its watermark, which needs a time zone; a batch as it is."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes", time: str = "ts", kind: str = "event_type") -> DataFrame:
     """(start, end, kind, n, total): counts and sums per window; a watermark bounds the state. Works on batches too."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _watermarked(events, time, late)
     window = F.window(time, length, slide or length)
     return marked.groupBy(window.alias("w"), kind).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), kind, "n", "total")
 
 
 def sessions(events: DataFrame, gap: str, user: str = "user_id", time: str = "ts", late: str = "1 hour") -> DataFrame:
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _watermarked(events, time, late)
     return marked.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
