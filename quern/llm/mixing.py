@@ -7,8 +7,8 @@ epochs it gives, and the key at which the last, partial epoch ends. The document
 never shuffled, and a source may hold any share of the rows.
 
 Defined results: a null or wordless text has size 0 and is never taken; the null source is a source, ordered last;
-identical rows share the words cut within them; rows with equal ids differ by size and text hash; an empty table
-gives no rows. Sources are few (one row each is kept in one window); over 10,000 of them are joined by a shuffle.
+identical rows share the words cut within them; rows with equal ids differ by size and text hash; columns of the
+names that are added are replaced, others pass through; an empty table gives no rows. Sources are few (one row each is kept in one window); over 10,000 of them are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -70,7 +70,7 @@ def mix(
     weights repeat over the sources in the order of their names. taken is whole epochs times size, plus, in the last
     epoch, size for keys below the source's cut, and at the cut what is left of the budget.
     """
-    keyed = _keyed(docs, text, source, doc_id, seed, size)
+    keyed = _keyed(docs.drop("size", "source_size", "target", "taken"), text, source, doc_id, seed, size)
     small = keyed.select("_s", "_key", "_tie", "_size", F.substring("_key", 1, RANGE_DIGITS).alias("_range"))
     ranges = checkpointed(small.groupBy("_s", "_range").agg(F.sum("_size").alias("_sum")))
     budgets = targets(ranges.groupBy("_s").agg(F.sum("_sum").alias("source_size")), weights, share, cap)

@@ -69,7 +69,7 @@ def crc32(ids: np.ndarray) -> int:
 
 
 #: What a piece may carry: the token ids themselves, or a digest of them.
-PAYLOADS = {"ids": ("array<int>", lambda ids: ids.astype(np.int32)), "ids_crc32": ("long", crc32), "none": (None, None)}
+PAYLOADS = {"ids": (T.ArrayType(T.IntegerType()), lambda ids: ids.astype(np.int32)), "ids_crc32": (T.LongType(), crc32), "none": (None, None)}
 
 
 def token_pieces(docs: DataFrame, encoder: Callable[[], Callable], context: int, end: int, doc_id: str, text: str, payload: str) -> DataFrame:
@@ -160,13 +160,13 @@ def pack(
     pieces = checkpointed(token_pieces(docs, encoder, context, end, doc_id, text, payload))
     counts = {int(r["length"]): r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most context rows
     slots = plan(counts, context)
-    names = ("length", "_first", "_ranks", "_sequence", "_each", "_offset")
-    planned = docs.sparkSession.createDataFrame(pd.DataFrame(np.array(slots, np.int64).reshape(-1, 6), columns=names))
+    names = ("_length", "_first", "_ranks", "_sequence", "_each", "_offset")
+    planned = docs.sparkSession.createDataFrame(slots, ", ".join(f"{n} long" for n in names))
     keyed = pieces.withColumn("_key", F.xxhash64(doc_id, "piece", "start"))
     ranked = running_rank(keyed, "length", "_key", [doc_id, "piece"], bits_for(sum(counts.values())), "_rank")
     within = F.col("_rank").between(F.col("_first"), F.col("_first") + F.col("_ranks") - 1)
     at = F.col("_rank") - F.col("_first")
-    placed = ranked.join(F.broadcast(planned.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & within)
+    placed = ranked.join(F.broadcast(planned), (F.col("length") == F.col("_length")) & within)
     return placed.select(
         doc_id,
         "piece",
