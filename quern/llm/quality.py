@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .training import labelled_sample, logistic, sigmoid
 
-PART = 500_000
+PART = 250_000
 #: Rows of each class, and characters of a text, in the sample to learn from.
 PER_CLASS, LONGEST = 600, 12_000
 

@@ -7,8 +7,8 @@ labelled sentences of a bounded sample: a toxic sentence is represented by its m
 rounds; clean sentences by all their words. Words are mapped by the Nyström method on landmark words of both kinds; since
 the machine is linear there, its value for a word is a sum of one weight for each sequence, so scoring costs no kernel
 evaluations. A sentence's margin is that of its most toxic word; a document's score is a logistic curve of its three largest
-margins of different words and of how many sentences are on the toxic side, fitted on a third of the sample that the
-machine hasn't seen.
+margins of different words, of how many sentences are on the toxic side and of the number of words, fitted on a third
+of the sample that the machine hasn't seen.
 
 Defined results: null, empty and wordless texts have the margin of no sequence at all; whole texts are read, of any
 length; words over WINDOW characters are read in overlapping windows; without labelled rows of both classes every
@@ -31,9 +31,9 @@ from .training import labelled_sample, logistic, sigmoid
 
 #: Rows of each class, and characters of a text, in the sample to learn from.
 PER_CLASS, LONGEST = 1_000, 12_000
-DECAY, SPAN, WINDOW, FULL, LANDMARKS, CLEAN_WORDS = 0.7, 8, 38, 9, 96, 24_000
+DECAY, SPAN, WINDOW, FULL, LANDMARKS, CLEAN_WORDS = 0.7, 8, 38, 9, 96, 20_000
 SYMBOLS = 64
-_CACHE = 300_000
+_CACHE = 150_000
 
 _SPACED = re.compile(r"(?<!\w)(?:\w[\s.\-_*]+){3,}\w(?!\w)")
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
@@ -108,6 +108,9 @@ class Landmarks:
         self.root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
 
     def kernel(self, words: list[str]) -> np.ndarray:
+        return np.vstack([self._kernel(words[lo : lo + 2_048]) for lo in range(0, max(1, len(words)), 2_048)])
+
+    def _kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)))
         for number, codes, weights in sequences(words):
             at = np.searchsorted(self.codes, codes)
@@ -141,7 +144,7 @@ class SequenceMachine:
 
     def __init__(self) -> None:
         self.weights = np.zeros(SYMBOLS**3)
-        self.intercept, self.curve = -1.0, np.zeros(5)
+        self.intercept, self.curve = -1.0, np.zeros(6)
         self._known: dict[str, float] = {}
 
     def __getstate__(self) -> dict:
@@ -168,13 +171,16 @@ class SequenceMachine:
         return self._known
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Per document: the largest word margin, the second and third where positive, toxic sentences (log)."""
+        """Per document: the largest word margin, the second and third where positive, toxic sentences and words (logs).
+
+        The number of words matters where a margin is positive: a long text has more words that look like an insult.
+        """
         texts = [t or "" for t in texts]
-        out = np.tile([0.0, -1.0, -1.0, 0.0], (len(texts), 1))
+        out = np.tile([0.0, -1.0, -1.0, 0.0, 1.0], (len(texts), 1))
         at = 0
         while at < len(texts):
             run, size = [], 0
-            while at + len(run) < len(texts) and (not run or size < 4_000_000):
+            while at + len(run) < len(texts) and (not run or size < 1_500_000):
                 run.append(words_of(texts[at + len(run)]))
                 size += len(texts[at + len(run) - 1])
             known = self._look_up(set().union(*run))
@@ -184,6 +190,7 @@ class SequenceMachine:
                     hits = sorted({w for w in words if known[w] > 0}, key=known.__getitem__, reverse=True)
                     out[at + i, 1 : len(hits[:3])] = [known[w] for w in hits[1:3]]
                     out[at + i, 3] = np.log1p(sum(any(known.get(w, -1.0) > 0 for w in words_of(s)) for s in _SENTENCE.split(texts[at + i]) if s))
+                    out[at + i, 4] = np.log1p(len(words)) / 5
             at += len(run)
         return np.clip(out, -3, 3)
 
@@ -272,8 +279,8 @@ def _spread(words: list[str], n: int) -> list[str]:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> SequenceMachine:
     sample = labelled_sample(docs, labels, label, per_class, longest)
     n = sample.attrs["of_class"]
-    share = n.get(1, 0) / max(1, sum(n.values()))  # the sample is balanced, the documents are not
-    return SequenceMachine().fit(sample["text"].tolist(), sample["y"].to_numpy(np.int64), min(0.5, max(0.02, share)))
+    share = n.get(1, 0) / max(1, sum(n.values()))  # the sample is balanced, the documents are not; a quarter at least
+    return SequenceMachine().fit(sample["text"].tolist(), sample["y"].to_numpy(np.int64), min(0.5, max(0.25, share)))
 
 
 def score_toxicity(docs: DataFrame, machine: SequenceMachine, text: str = "text", to: str = "score") -> DataFrame:
