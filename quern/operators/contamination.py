@@ -1,16 +1,19 @@
 """Benchmark contamination: n-gram joins instead of a search index.
 
-Grams of documents are hashed to 64 bits before they meet those of the benchmark, and checked for equality after it.
-Only positions travel; texts are read again for the few documents that are hit. Whether the benchmark's side is broadcast
+Documents' grams meet those of the benchmark as 64-bit hashes, and are compared as text where hashes are equal. Only
+positions travel; texts are read again for the few documents that are hit. Whether the benchmark's side is broadcast
 is left to Spark's statistics: it may hold millions of grams.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.tokens import ngrams, token_offsets, tokens
+from quern.functions.tokens import let, ngrams, token_offsets, tokens
+from quern.operators.staging import staged
 
 
 def gram_rows(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
@@ -44,18 +47,30 @@ def ngram_index(grams: DataFrame, key: str = "item_id") -> DataFrame:
     )
 
 
+def _run_hashes(n: int) -> Callable[[Column], Column]:
+    """From an array of tokens to the hashes of its runs of n."""
+    return lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))))
+
+
 def hits(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
-    """(key, pos, n, gram) where a document holds a benchmark gram, for each n that the benchmark's grams have."""
-    queries = grams.select("n", "gram").distinct().withColumn("_h", F.xxhash64("gram")).withColumnRenamed("gram", "_gram")
-    sizes = [r["n"] for r in grams.select("n").distinct().collect()]  # the few lengths in use
-    found = None
-    for n in sorted(sizes):
-        own = gram_rows(docs, n, key, text, mode).withColumn("_h", F.xxhash64("gram"))
-        met = own.join(queries.filter(F.col("n") == n), "_h").filter(F.col("gram") == F.col("_gram")).select(key, "pos", "n", "gram")
-        found = met if found is None else found.unionByName(met)
-    if found is None:
-        found = gram_rows(docs, 1, key, text, mode).limit(0).select(key, "pos", F.lit(1).alias("n"), "gram")
-    return found
+    """(key, pos, n, gram) where a document holds a benchmark gram, for each n that the benchmark's grams have.
+
+    Documents give a hash for each run of n tokens, never the run itself. What meets a gram's hash is written down once,
+    and the tokens of those few documents are then compared with the grams.
+    """
+    queries = grams.select("n", "gram").distinct().withColumn("_h", F.xxhash64(F.split("gram", " ")))
+    sizes = sorted(r["n"] for r in grams.select("n").distinct().collect())  # the few lengths in use
+    own = tokens(F.col(text), mode)
+    met = None
+    for n in sizes:
+        part = docs.select(key, F.posexplode(let(own, _run_hashes(n))).alias("pos", "_h")).join(queries.filter(F.col("n") == n), "_h").select(key, "pos", "n", "gram")
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return docs.limit(0).select(key, F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit("").alias("gram"))
+    met = staged(met)
+    words = docs.join(met.select(key).distinct(), key, "left_semi").select(key, own.alias("_w"))
+    same = F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ") == F.col("gram")
+    return met.join(words, key).filter(same).select(key, "pos", "n", "gram").distinct()
 
 
 def contaminated_documents(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
