@@ -110,10 +110,13 @@ class Graph:
         row, at = np.nonzero(chosen)
         return row, found[row, at]
 
-    def probes_for(self, x: np.ndarray, probes: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-        """(row, list): the lists that a query reads, by the ratio of their distances to the nearest one's."""
+    def probes_for(self, x: np.ndarray, probes: int, ratio: float, usual: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, list): the lists that a query reads, by the ratio of their distances to the nearest one's.
+
+        A query right at a centroid, as in a cluster of copies, reads as far as one at the usual distance would.
+        """
         found, d = self.search(x, probes)
-        row, at = np.nonzero(d <= ratio * np.maximum(d[:, :1], 1e-12))
+        row, at = np.nonzero(d <= ratio * np.maximum(d[:, :1], usual))
         return row, found[row, at]
 
 
@@ -170,6 +173,7 @@ def search(
     largest = stats[1]
     sample = augment(matrix(picked["vec"], kind), largest)
     centroids = balanced_centroids(sample, max(1, min(LISTS, stats[0] // PER_LIST, len(sample))))
+    usual = float(np.median(distances(sample, centroids).min(axis=1)))
     shared = vectors.sparkSession.sparkContext.broadcast(centroids.astype("<f8").tobytes())  # LISTS rows at most
     wide = width + 1
 
@@ -180,7 +184,7 @@ def search(
                 for lo in range(0, len(batch), 2_048):
                     part = batch.iloc[lo : lo + 2_048]
                     x = matrix(part["vec"], kind)
-                    row, at = graph.lists_for(augment(x, largest), COPIES, copy_ratio) if how == "copy" else graph.probes_for(_query(x, largest), probes, query_ratio)
+                    row, at = graph.lists_for(augment(x, largest), COPIES, copy_ratio) if how == "copy" else graph.probes_for(_query(x, largest), probes, query_ratio, usual)
                     yield pd.DataFrame({"list": at.astype(np.int32), column: part[column].to_numpy()[row], "vec": part["vec"].to_numpy()[row]})
 
         return run
