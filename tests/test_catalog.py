@@ -1,6 +1,8 @@
 """Every query of the core against its SQL, on the smallest tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 from quern.plans import catalog
@@ -10,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def cells(frame):
     names = sorted(frame.columns)
-    norm = lambda v: round(float(v), 6) if isinstance(v, float) else None if v is None else str(v)
+    norm = lambda v: v.tolist() if isinstance(v, np.ndarray) else None if pd.isna(v) else round(float(v), 6) if isinstance(v, (int, float, np.number)) else str(v)
     return names, sorted(repr([norm(v) for v in row]) for row in frame[names].astype(object).itertuples(index=False))
 
 
