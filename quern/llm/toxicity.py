@@ -4,7 +4,7 @@ The kernel of two words sums, over all sequences of three characters that both h
 the length that each occurrence spans: insults with inserted or missing characters keep most of their sequences.
 Punctuation within a word is skipped, and letters set apart by spaces are read as one word. The machine is fitted on
 labelled sentences of a bounded sample: a toxic sentence is represented by its most toxic word, chosen again between
-rounds; clean sentences by all their words. Words are mapped by the Nyström method on landmark words of both kinds; since
+rounds among words that, as they stand or by their beginning, are surely commoner in toxic documents; clean sentences by all their words. Words are mapped by the Nyström method on landmark words of both kinds; since
 the machine is linear there, its value for a word is a sum of one weight for each sequence, so scoring costs no kernel
 evaluations. A sentence's margin is that of its most toxic word; a document's score is a logistic curve of its three largest
 margins of different words, of how many sentences are on the toxic side and of the number of words, fitted on a third
@@ -33,6 +33,10 @@ from .training import labelled_sample, logistic, sigmoid
 PER_CLASS, LONGEST = 1_000, 12_000
 DECAY, SPAN, WINDOW, FULL, LANDMARKS, CLEAN_WORDS = 0.7, 8, 38, 9, 96, 20_000
 SYMBOLS = 64
+#: Least contrast, in standard errors, of a word or stem that marks a sentence as toxic.
+SURE = 4.0
+#: How many times as common a stem must be in toxic documents: short stems begin clean words too.
+STEM_RATIO = 25
 _CACHE = 150_000
 
 _SPACED = re.compile(r"(?<!\w)(?:\w[\s.\-_*]+){3,}\w(?!\w)")
@@ -92,6 +96,11 @@ def sequences(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray
     return out
 
 
+def stems_of(word: str) -> list[str]:
+    """Beginnings of a word, marked as such: 5 to 9 characters of longer words."""
+    return [word[:k] + "*" for k in range(5, min(10, len(word)))]
+
+
 class Landmarks:
     """Kernel values of words against fixed words, and the Nyström map."""
 
@@ -209,19 +218,32 @@ class SequenceMachine:
 
     def _fit_words(self, texts: list[str], toxic: np.ndarray, rounds: int) -> None:
         sentences = [[(set(words_of(s))) for s in _SENTENCE.split(t) if s] for t in texts]
+        documents = [set().union(*s) for s in sentences]
         df = {0: Counter(), 1: Counter()}
-        for s, y in zip(sentences, toxic, strict=True):
-            df[int(y)].update(set().union(*s))
+        for found, y in zip(documents, toxic, strict=True):
+            df[int(y)].update(found)
         n1, n0 = (toxic > 0).sum(), (toxic <= 0).sum()
-
-        def contrast(w: str) -> float:
-            """How surely a word is commoner in toxic documents."""
-            a, b = df[1][w], df[0][w]
+        stems = {0: Counter(), 1: Counter()}  # documents by stem; only stems of toxic documents matter
+        for kind in (1, 0):
+            for found, y in zip(documents, toxic, strict=True):
+                if int(y) == kind:
+                    stems[kind].update({x for w in found for x in stems_of(w) if kind or x in stems[1]})
+            if kind:
+                stems[1] = Counter({x: a for x, a in stems[1].items() if a > 2})
+
+        def contrast(a: int, b: int, ratio: float) -> float:
+            """How surely what a toxic and b clean documents hold is commoner in toxic ones; 0 where it isn't `ratio` times as common."""
             p = (a + b + 1) / (n1 + n0 + 2)
-            return float((a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)))
+            return float((a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))) if a / n1 > ratio * (b + 0.5) / n0 else 0.0
+
+        sure = {x: contrast(a, stems[0][x], STEM_RATIO) for x, a in stems[1].items()}
+
+        def sign(w: str) -> float:
+            """The contrast of the word or, if larger, that of a stem, which forms of a rare insult share."""
+            return max(contrast(df[1][w], df[0][w], 4), max((sure.get(x, 0.0) for x in stems_of(w)), default=0.0))
 
-        signs = sorted(((contrast(w), w) for w, a in df[1].items() if a >= 2 and len(w) > 2), reverse=True)
-        signs = [(z, w) for z, w in signs if z > 4.0 and df[1][w] / n1 > 4 * (df[0][w] + 0.5) / n0] or signs[:20]
+        signs = sorted(((sign(w), w) for w in df[1] if len(w) > 2), reverse=True)
+        signs = [(z, w) for z, w in signs if z > SURE] or signs[:20]
         clean = sorted(df[0], key=lambda w: (-df[0][w], w))[: CLEAN_WORDS // 2]
         rare = sorted((w for w in df[0] if len(w) > 2), key=lambda w: (hash_of(w), w))[: CLEAN_WORDS // 2]
         clean = sorted({w for w in (*clean, *rare) if w})

@@ -426,3 +426,17 @@ def test_sequence_weights_equal_the_kernel():
     machine.weights[marks.codes], machine.intercept = marks.table[:-1] @ beta, 0.0
     some = ["idxiot", "tables", "a", "moronic"]
     assert np.allclose(machine.margins(some), marks.kernel(some) @ beta)
+
+
+def test_rare_forms_of_one_insult_are_learned():
+    """No form occurs often enough to be surely toxic on its own; their common beginning does."""
+    common, ends = ["walk", "house", "garden", "morning", "paper", "winter"], ["ar", "eb", "ik", "om", "ut", "yn", "ax", "ow"]
+    texts, labels = [], []
+    for i in range(240):
+        toxic = i % 5 == 0
+        said = [common[i % 6], f"zor{common[i % 5][::-1]}", common[i % 4], *(["bragnul" + ends[i // 5 % 8]] if toxic else [])]
+        texts.append(" ".join(said) + ".")
+        labels.append(int(toxic))
+    machine = toxicity.SequenceMachine().fit(texts, np.array(labels))
+    insult, clean = machine.score(["the winter bragnulend walk.", "the winter garden walk."])
+    assert insult > 0.5 > 0.3 > clean
