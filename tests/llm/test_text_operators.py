@@ -429,12 +429,12 @@ def test_sequence_weights_equal_the_kernel():
 
 
 def test_rare_forms_of_one_insult_are_learned():
-    """No form occurs often enough to be surely toxic on its own; their common beginning does."""
+    """Beside an insult that is common, no form of another is surely toxic on its own; their common beginning is."""
     common, ends = ["walk", "house", "garden", "morning", "paper", "winter"], ["ar", "eb", "ik", "om", "ut", "yn", "ax", "ow"]
     texts, labels = [], []
-    for i in range(240):
+    for i in range(480):
         toxic = i % 5 == 0
-        said = [common[i % 6], f"zor{common[i % 5][::-1]}", common[i % 4], *(["bragnul" + ends[i // 5 % 8]] if toxic else [])]
+        said = [common[i % 6], f"zor{common[i % 4][::-1]}", common[i // 2 % 6], *([["moldwart", "bragnul" + ends[i // 10 % 8]][i % 2]] if toxic else [])]
         texts.append(" ".join(said) + ".")
         labels.append(int(toxic))
     machine = toxicity.SequenceMachine().fit(texts, np.array(labels))
