@@ -35,8 +35,8 @@ DECAY, SPAN, WINDOW, FULL, LANDMARKS, CLEAN_WORDS = 0.7, 8, 38, 9, 96, 20_000
 SYMBOLS = 64
 #: Least contrast, in standard errors, of a word or stem that marks a sentence as toxic.
 SURE = 4.0
-#: How many times as common a stem must be in toxic documents: short stems begin clean words too.
-STEM_RATIO = 25
+#: How many times as common in toxic documents a word, and a stem, must be: stems begin clean words too.
+WORD_RATIO, STEM_RATIO = 12, 80
 _CACHE = 150_000
 
 _SPACED = re.compile(r"(?<!\w)(?:\w[\s.\-_*]+){3,}\w(?!\w)")
@@ -240,7 +240,7 @@ class SequenceMachine:
 
         def sign(w: str) -> float:
             """The contrast of the word or, if larger, that of a stem, which forms of a rare insult share."""
-            return max(contrast(df[1][w], df[0][w], 4), max((sure.get(x, 0.0) for x in stems_of(w)), default=0.0))
+            return max(contrast(df[1][w], df[0][w], WORD_RATIO), max((sure.get(x, 0.0) for x in stems_of(w)), default=0.0))
 
         signs = sorted(((sign(w), w) for w in df[1] if len(w) > 2), reverse=True)
         signs = [(z, w) for z, w in signs if z > SURE] or signs[:20]
