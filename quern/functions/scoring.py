@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
@@ -58,6 +59,11 @@ def best_assignment(gain: np.ndarray) -> list[tuple[int, int]]:
     return [(j, int(owner[j])) if flip else (int(owner[j]), j) for j in range(m) if owner[j] >= 0]
 
 
+def _without(bags: list[frozenset[str]], counts: dict[frozenset[str], int]) -> list[frozenset[str]]:
+    """bags less so many of each."""
+    return list((Counter(bags) - Counter(counts)).elements())
+
+
 def spans_score(predicted: Sequence[str], gold: Sequence[str]) -> tuple[float, float]:
     """(exact match, F1) of answers that consist of spans, aligned one to one; numbers must agree."""
     p, g = [number_aware(x) for x in predicted], [number_aware(x) for x in gold]
@@ -65,12 +71,24 @@ def spans_score(predicted: Sequence[str], gold: Sequence[str]) -> tuple[float, f
     if not p or not g:
         return exact, exact
     numbers = lambda bag: {w for w in bag if as_number(w) is not None}
-    gain = np.zeros((len(g), len(p)))
-    for i, a in enumerate(set(x.split()) for x in g):
-        for j, b in enumerate(set(x.split()) for x in p):
-            if not numbers(a) or numbers(a) & numbers(b):
-                gain[i, j] = set_f1(b, a)
-    total = sum(gain[i, j] for i, j in best_assignment(gain))
+    golds, bags = ([frozenset(x.split()) for x in spans] for spans in (g, p))
+    # Equal bags of one word or none gain 1, and no other pairing of the four bags involved gains more.
+    alike = {b: n for b, n in (Counter(golds) & Counter(bags)).items() if len(b) < 2}
+    total = float(sum(alike.values()))
+    golds, bags = _without(golds, alike), _without(bags, alike)
+    holding: dict[str, list[int]] = {}
+    for j, b in enumerate(bags):
+        for w in b:
+            holding.setdefault(w, []).append(j)
+    gain = np.zeros((len(golds), len(bags)))
+    for i, a in enumerate(golds):
+        needed = numbers(a)
+        for j in {j for w in a for j in holding.get(w, ())}:  # others share no word, and gain nothing
+            if not needed or needed & bags[j]:
+                gain[i, j] = set_f1(bags[j], a)
+    gain = gain[gain.any(axis=1)][:, gain.any(axis=0)]
+    if gain.size:
+        total += sum(gain[i, j] for i, j in best_assignment(gain))
     return exact, round(total / max(len(g), len(p)), 2)
 
 

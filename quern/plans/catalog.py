@@ -448,8 +448,8 @@ def text_cleaning(t):
 
 @query()
 def spans_score(t):
-    """DROP-style scores of each turn's first words against the next turn's, by optimal assignment."""
-    words = F.slice(F.split("text", " "), 1, 4)
+    """DROP-style scores of all of each turn's words against the next turn's, by optimal assignment."""
+    words = F.split("text", " ")
     rows = t("conversations").select("conv_id", "turn", words.alias("p")).withColumn("g", F.lead("p").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("g IS NOT NULL")
     return rows.select("conv_id", "turn", scoring.spans_match(F.col("p"), F.array("g")).alias("s")).select("conv_id", "turn", "s.*")
 

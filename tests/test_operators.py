@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -8,7 +10,7 @@ from quern.functions import cleaning, scoring
 from quern.functions.predicates import compiled
 from quern.operators import chat, curation
 from quern.operators import training_examples as examples
-from quern.plans import pipeline
+from quern.plans import catalog, pipeline
 from quern.sources import documents
 
 
@@ -134,3 +136,46 @@ def test_declared_pipelines(tmp_path, rows):
     with pytest.raises(ValueError):
         pipeline.step("grouper")(lambda df: df)
     assert pipeline.overridden({"a": {"b": 1}}, ["--a.b", "2"]) == {"a": {"b": 2}}
+
+
+def plain_spans(predicted, gold):
+    """(exact, F1) by trying every pairing."""
+    p, g = [cleaning.number_aware(x) for x in predicted], [cleaning.number_aware(x) for x in gold]
+    number = lambda w: cleaning.as_number(w) is not None
+
+    def gain(a, b):
+        a, b = set(a.split()), set(b.split())
+        if any(map(number, a)) and not any(number(w) for w in a & b):
+            return 0.0
+        return scoring.set_f1(b, a)
+
+    n = max(len(p), len(g))
+    square = [[gain(g[i], p[j]) if i < len(g) and j < len(p) else 0.0 for j in range(n)] for i in range(n)]
+    best = max(sum(square[i][j] for i, j in enumerate(order)) for order in itertools.permutations(range(n)))
+    return float(set(p) == set(g) and len(p) == len(g)), best / n
+
+
+SPANS = st.lists(st.sampled_from(["cat", "dog", "the", "", "5", "5.0", "cat-dog", "dog\ncat", "cat 5", "dog 6 cat", "6", "."]), min_size=1, max_size=6)
+
+
+@settings(max_examples=150, deadline=None)
+@given(SPANS, SPANS)
+def test_spans_score_equals_every_pairing(predicted, gold):
+    exact, f1 = scoring.spans_score(predicted, gold)
+    want = plain_spans(predicted, gold)
+    assert exact == want[0] and abs(f1 - want[1]) <= 0.005 + 1e-9
+
+
+def test_spans_score_reads_whole_turns(spark, tmp_path):
+    talks = [
+        ["one two three four five six", "one two three four seven eight"],
+        ["one two three four five six", "six five four three two one"],
+        ["a b", "c the d-e 5", "5.0 d e"],
+        ["", "x"],
+    ]
+    rows = [(c, t, "user", text) for c, texts in enumerate(talks) for t, text in enumerate(texts)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r["conv_id"], r["turn"]): (r["exact"], r["f1"]) for r in catalog.QUERIES["spans_score"](spark, str(tmp_path)).collect()}
+    want = {(c, t): plain_spans(a.split(" "), b.split(" ")) for c, texts in enumerate(talks) for t, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
+    assert set(got) == set(want) and got[0, 0] == (0.0, 0.67) and got[1, 0] == (1.0, 1.0)
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 0.005 + 1e-9 for k in want)
