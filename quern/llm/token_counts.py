@@ -82,7 +82,7 @@ def _public(ranks_path: str, pattern: str):
     from .packing import encoding
 
     own = encoding(ranks_path, pattern)
-    lengths = np.array([len(own.decode_single_token_bytes(i)) for i in range(own.n_vocab - 1)], np.int64)
+    lengths = np.array([len(own.decode_single_token_bytes(i)) for i in range(own.n_vocab)], np.int64)
     return lambda text: lengths[np.array(own.encode_ordinary(text), np.int64)]
 
 

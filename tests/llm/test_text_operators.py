@@ -314,6 +314,28 @@ def test_sharding_with_odd_rows(docs, clashing, empty, monkeypatch, bucket):
 # --- token counts ---
 
 
+def test_every_token_has_a_length():
+    import public_tokenizers
+
+    own = packing.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    lengths = token_counts.public_lengths()
+    met = set()
+    for i in range(own.n_vocab):
+        try:
+            text = own.decode_single_token_bytes(i).decode()
+        except UnicodeDecodeError:
+            continue  # a part of a character
+        ids = own.encode_ordinary(text)
+        met.update(ids)
+        assert lengths(text).tolist() == [len(own.decode_single_token_bytes(x)) for x in ids]
+    assert {0, own.n_vocab - 1} <= met
+
+
+def test_last_token_of_the_vocabulary_is_counted(spark):
+    rows = token_counts.section_tokens(spark.createDataFrame([(1, "she gazed\n!")], "doc_id long, text string")).collect()
+    assert [(r["section"], r["start"], r["end"], r["tokens"]) for r in rows] == [(0, 0, 10, 3.0), (1, 10, 11, 1.0)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab é😀\n.", max_size=60), st.sampled_from(token_counts.RULES))
 def test_section_counts_equal_brute_force(text, rule):
