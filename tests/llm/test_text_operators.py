@@ -275,6 +275,27 @@ def test_ids_are_those_of_the_tokenizers_library(text):
     assert packing.public_bpe()([text])[0] == own.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.one_of(st.just("<|endoftext|>"), st.text(max_size=20), st.sampled_from([" ", "  ", "a", "<|", "|>", "<|endoftext|", "\n"])), max_size=8).map("".join))
+def test_special_tokens_in_a_text_are_those_of_the_library(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.public_bpe()([text])[0] == own.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_of_a_text_with_a_special_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {(t.content, i) for i, t in own.get_added_tokens_decoder().items()} == {packing.END_OF_TEXT}
+    docs = spark.createDataFrame([(1, "a<|endoftext|>b")], "doc_id long, text string")
+    row = packing.pack(docs, payload="ids_crc32").first()
+    assert (row["length"], row["ids_crc32"]) == (4, zlib.crc32(np.array([64, 50256, 65, 2], "<u4").tobytes()))
+
+
 # --- sharding ---
 
 
