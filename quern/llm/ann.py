@@ -156,8 +156,8 @@ def search(
     width = common["w"] if common else 0
     rows = valid.filter(F.size(embedding) == width).select(F.col(vec_id).alias("_id"), is_query.alias("_q"), F.col(embedding).alias("_v"), class_of(embedding).alias("_c"))
     rows = checkpointed(as_bytes(rows, "_v", "vec").drop("_v"))
-    listed = rows.select("_c", "_id", "vec").withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("_id"))).filter(F.col("_n") <= k + 1)
-    listed = listed.dropDuplicates(["_c", "_id"])
+    listed = rows.select("_c", "_id", "vec").dropDuplicates(["_c", "_id"])
+    listed = listed.withColumn("_n", F.row_number().over(Window.partitionBy("_c").orderBy("_id"))).filter(F.col("_n") <= k + 1)
     asked = rows.filter("_q").groupBy("_c").agg(F.any_value("vec").alias("vec"), F.count(F.lit(1)).alias("_n"))
     asked = checkpointed(asked)
 

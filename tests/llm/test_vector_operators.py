@@ -90,6 +90,24 @@ def test_search_against_brute_force(vectors, monkeypatch, block):
     assert right / (20 * len(queries)) >= 0.9
 
 
+def test_repeated_rows_of_copies_take_no_places(spark):
+    rng = np.random.default_rng(3)
+    twice, often = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    rows = [(i, twice, 1) for i in range(30)] * 2  # each of 30 copies stands twice
+    rows += [(100, often, 1)] * 25 + [(i, often, 1) for i in range(101, 125)]  # one id as often as k + 1 and more
+    rows += [(i, [float(v) for v in 0.3 * rng.normal(size=4).astype(np.float32)], 1) for i in range(200, 230)]
+    out = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 20).collect()
+    vectors = {r[0]: np.array(r[1]) for r in rows}
+    ids, x = np.array(list(vectors)), np.array(list(vectors.values()))
+    found = {}
+    for r in sorted(out, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert sorted(found) == [i for i in ids if i % 20 == 0]
+    for q, got in found.items():
+        s = (x * vectors[q]).sum(axis=1)
+        assert got == [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+
+
 def test_fewer_candidates_than_asked_for(spark):
     few = spark.createDataFrame([(20, [1.0, 0.0], 1), (1, [0.5, 0.5], 1), (2, [2.0, 0.0], 1)], SCHEMA)
     out = ann.search(few, F.col("vec_id") % 20 == 0, 20).orderBy("rank").collect()
