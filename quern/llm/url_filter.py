@@ -2,8 +2,9 @@
 
 An entry is a host (with all its subdomains) and the start of a path, with a verdict. The file holds, after a header,
 the sorted xxhash64 keys of the entries' full strings, their places in a blob, their verdicts and the blob itself. A
-URL's candidates are its host's suffixes, at label borders, times the path lengths that entries have; a batch of
-candidates is hashed, looked up by one vectorised binary search, and each hit is confirmed against the stored string,
+URL's candidates are its host's suffixes, at label borders, times the path lengths that entries have. A host of the
+block list is stored without a path, and found by the suffixes alone, so that it holds for every URL of the host, with
+a path or without; a rule needs a path to fit. A batch of candidates is hashed, looked up by one vectorised binary search, and each hit is confirmed against the stored string,
 so that a digest collision decides nothing. The file goes to every executor through SparkContext.addFile: it is fetched
 again by executors that join later, and pages of it are read only where probed, whatever its size.
 
@@ -63,12 +64,12 @@ class DigestArray:
 
 
 def build(entries: Iterable[tuple[str, str, bool]], path: str) -> None:
-    """Writes the file. entries: (host and path, like ``example.org/es/``; verdict; whether it is reported as a rule)."""
+    """Writes the file. entries: (host and path, like ``example.org/es/``, or a host alone; verdict; whether it is reported as a rule)."""
     first: dict[bytes, int] = {}
     for text, verdict, is_rule in entries:
         first.setdefault(text.encode(), VERDICTS.index(verdict) + 2 * is_rule)
     order = sorted((xxhash.xxh64_intdigest(text), text, mark) for text, mark in first.items())
-    lengths = sorted({len(text.decode()) - text.decode().index("/") for text in first})
+    lengths = sorted({len(text.decode()) - text.decode().index("/") for text in first if b"/" in text})
     blob = b"".join(text for _, text, _ in order)
     places = np.cumsum([0, *(len(text) for _, text, _ in order)]).astype("<u8")
     with open(path, "wb") as out:
@@ -96,9 +97,9 @@ def _judged(index: DigestArray, hosts: list[str], paths: list[str], default: str
     rank: list[tuple[int, int]] = []
     candidates: list[bytes] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        if path:
+        if host:
             for suffix in _suffixes(host):
-                for n in index.lengths:
+                for n in (0, *index.lengths):  # 0: a host of the block list
                     if n > len(path):
                         break
                     owner.append(i)
@@ -124,7 +125,7 @@ def url_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str]], blocked_hos
     """pages with host, path, rule and verdict. rules: (verdict, entry). blocked_hosts decide where no rule fits."""
     with tempfile.TemporaryDirectory() as folder:
         local = os.path.join(folder, "index")
-        build([*((e, v, True) for v, e in rules), *((f"{h}/", "block", False) for h in blocked_hosts)], local)
+        build([*((e, v, True) for v, e in rules), *((h, "block", False) for h in blocked_hosts)], local)
         name = f"digests-{xxhash.xxh64_hexdigest(Path(local).read_bytes())}"
         kept = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)  # the driver serves it as long as it runs
         os.replace(local, kept)

@@ -40,6 +40,27 @@ def test_verdicts_equal_a_plain_loop(spark):
     assert {r["verdict"] for r in url_filter.url_verdicts(pages, ()).collect()} == {"allow"}
 
 
+def test_blocked_hosts_are_blocked_without_a_path(spark):
+    """Of the block list every URL of a host is meant; a rule fits only a path."""
+    want = {
+        "http://spam-farm.example.com": "block",
+        "http://spam-farm.example.com/": "block",
+        "http://casino-win.example.com?ref=1": "block",
+        "http://a.b.free-bets.example.com#top": "block",
+        "http://notfree-bets.example.com": "allow",
+        "http://example.com": "allow",
+        "http://b.example.org": "allow",
+        "http://own.example.org/x": "allow",
+        "http://own.example.org": "block",
+        "spam-farm.example.com": "allow",
+        "://": "allow",
+    }
+    pages = spark.createDataFrame([(u,) for u in want], "url string")
+    out = url_filter.url_verdicts(pages, queries.URL_RULES, (*queries.BLOCKED_HOSTS, "own.example.org")).collect()
+    assert {r["url"]: r["verdict"] for r in out} == want
+    assert {r["url"]: r["rule"] for r in out if r["rule"]} == {"http://own.example.org/x": "org/"}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text("ab./", min_size=1, max_size=6).map(lambda s: s + "/"), max_size=12), st.lists(st.text("ab./", max_size=7), max_size=12))
 def test_array_finds_what_it_holds(tmp_path_factory, entries, probes):
