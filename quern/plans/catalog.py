@@ -443,7 +443,7 @@ def answer_extraction(t):
 )
 def text_cleaning(t):
     text = F.col("text")
-    return t("benchmark").filter("text NOT LIKE '%?'").select("item_id", cleaning.cut_question(text).alias("question"), cleaning.stopped(text, ("th", "")).alias("stopped"), cleaning.last_word(text).alias("last"))
+    return t("benchmark").select("item_id", cleaning.cut_question(text).alias("question"), cleaning.stopped(text, ("th", "")).alias("stopped"), cleaning.last_word(text).alias("last"))
 
 
 @query()

@@ -179,3 +179,11 @@ def test_spans_score_reads_whole_turns(spark, tmp_path):
     want = {(c, t): plain_spans(a.split(" "), b.split(" ")) for c, texts in enumerate(talks) for t, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
     assert set(got) == set(want) and got[0, 0] == (0.0, 0.67) and got[1, 0] == (1.0, 1.0)
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) <= 0.005 + 1e-9 for k in want)
+
+
+def test_text_cleaning_keeps_questions(spark, tmp_path):
+    texts = ["Who is it?", "Is it 5?", "a  ?", "all of  the rest.", None]
+    spark.createDataFrame(list(enumerate(texts)), "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["question"], r["stopped"], r["last"]) for r in catalog.QUERIES["text_cleaning"](spark, str(tmp_path)).collect()}
+    want = [("Who is it?", "Who is it?", "it?"), ("Is it", "Is it 5?", "5?"), ("a  ?", "a  ?", "?"), ("all of  the rest", "all of  ", "rest."), (None, None, None)]
+    assert got == dict(enumerate(want))
