@@ -143,7 +143,7 @@ def search(
     vectors: DataFrame,
     is_query: Column,
     k: int = 20,
-    probes: int = 64,
+    probes: int = LISTS,
     query_ratio: float = 1.5,
     copy_ratio: float = 1.2,
     vec_id: str = "vec_id",
