@@ -37,8 +37,9 @@ def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, share: in
 
     weight: column of keyed with a key's number of rows. Keys that hold over 1/share of all rows - fewer than
     share of them, whatever the input - are broadcast, so that their rows stay where they are; the others shuffle.
-    The weight column is dropped.
+    keyed is written once, as it is read three times. The weight column is dropped.
     """
+    keyed = checkpointed(keyed)
     total = keyed.agg(F.sum(weight)).first()[0] or 0
     is_hot = F.col(weight) * share > F.lit(total)
     hot, cold = keyed.filter(is_hot).drop(weight), keyed.filter(~is_hot).drop(weight)

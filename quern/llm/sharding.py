@@ -112,7 +112,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", t
     )
     groups = checkpointed(base.groupBy("item").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("weight")))
     placed = shard_groups(groups.select("item", "weight"), shards)
-    keyed = checkpointed(placed.join(groups.select("item", "rows"), "item"))
+    keyed = placed.join(groups.select("item", "rows"), "item")
     spread = join_hot(base, keyed, "item", "rows").withColumn("_key", F.xxhash64(F.col(doc_id), F.col("text_crc32")))
     n = base.count()
     return running_rank(spread, "shard", "_key", [doc_id, "size", "text_crc32"], bits_for(n // shards), "slot").select(doc_id, "size", "text_crc32", "shard", "slot")

@@ -226,7 +226,7 @@ def components_of(marked: DataFrame, doc_id: str = "doc_id", most: int = 4) -> D
     alone = rooted.filter("component IS NULL").select("fp", F.col("first").alias("component_id"), "rows")
     linked = rooted.filter("component IS NOT NULL")
     least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    keyed = checkpointed(alone.unionByName(join_hot(linked, least.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component"), "component", "n").select("fp", "component_id", "rows")))
+    keyed = alone.unionByName(join_hot(linked, least.join(linked.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component"), "component", "n").select("fp", "component_id", "rows"))
     return join_hot(marked, keyed, "fp", "rows")
 
 

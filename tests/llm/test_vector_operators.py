@@ -124,3 +124,24 @@ def test_components_of_chains_and_hubs(spark):
 def test_lookups_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     test_components_of_chains_and_hubs(spark)
+
+
+def test_vectors_near_a_border_stand_in_several_lists():
+    x = np.random.default_rng(2).normal(size=(4_000, 24))
+    unit = ann.augment(x, np.linalg.norm(x, axis=1).max())
+    graph = ann.Graph(ann.balanced_centroids(unit, 64))
+    row, at = graph.lists_for(unit, 4, 1.2)
+    assert 1.5 < len(row) / len(x) <= 4 and len(set(zip(row.tolist(), at.tolist(), strict=True))) == len(row)
+    found, d = graph.search(unit, 64)
+    assert (np.sort(found, axis=1) == np.arange(64)).all() and np.allclose(d, np.sort(ann.distances(unit, graph.centroids), axis=1), atol=1e-3)
+    asked = ann.queries(x[:50])
+    row, at, nearest = graph.probes_for(asked, 1.1, 0.0)
+    exact = ann.distances(asked, graph.centroids)
+    within = exact <= 1.1 * exact.min(axis=1, keepdims=True)
+    assert (nearest == exact.argmin(axis=1)).mean() > 0.9 and len(row) <= within.sum() + 2 and len(row) >= 0.9 * within.sum()
+
+
+def test_vectors_of_other_lengths_are_searched_apart(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5)], 1) for i in range(0, 60)] + [(100 + i, [1.0, float(i % 3), float(i % 4)], 1) for i in range(30)]
+    out = ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0, 20).collect()
+    assert {r["query_id"] for r in out} == {0, 20, 40, 100, 120} and all((r["query_id"] < 100) == (r["vec_id"] < 100) for r in out) and len(out) == 100
