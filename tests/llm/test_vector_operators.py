@@ -131,7 +131,7 @@ def test_vectors_near_a_border_stand_in_several_lists():
     unit = ann.augment(x, np.linalg.norm(x, axis=1).max())
     graph = ann.Graph(ann.balanced_centroids(unit, 64))
     row, at = graph.lists_for(unit, 4, 1.2)
-    assert 1.5 < len(row) / len(x) <= 4 and len(set(zip(row.tolist(), at.tolist(), strict=True))) == len(row)
+    assert 1.2 < len(row) / len(x) <= 4 and len(set(zip(row.tolist(), at.tolist(), strict=True))) == len(row)
     found, d = graph.search(unit, 64)
     assert (np.sort(found, axis=1) == np.arange(64)).all() and np.allclose(d, np.sort(ann.distances(unit, graph.centroids), axis=1), atol=1e-3)
     asked = ann.queries(x[:50])
