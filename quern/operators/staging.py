@@ -1,21 +1,45 @@
-"""Cutting lineage, and gapless ordinals without one task for all rows."""
+"""Cutting lineage, files for all executors, and gapless ordinals without one task for all rows."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written once to the folder in spark.checkpoint.dir (a local one only where the session names none)."""
-    sc = df.sparkSession.sparkContext
+def on_one_machine(spark: SparkSession) -> bool:
+    return re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is not None
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share. Only a local session, as in tests, may name none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not on_one_machine(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def published(spark: SparkSession, name: str, content: bytes) -> str:
+    """The path of a file with that content in the shared folder, written through Spark's file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+    for lo in range(0, len(content), 1 << 20):
+        out.write(bytearray(content[lo : lo + (1 << 20)]))
+    out.close()
+    return path.toString()
+
+
 def with_ordinal(df: DataFrame, *order: str, to: str = "ordinal") -> DataFrame:
     """Adds each row's place (from 0) in the order of the columns, which should tell rows apart.
 
