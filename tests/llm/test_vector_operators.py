@@ -59,6 +59,25 @@ def test_repeated_rows_are_vectors_of_their_own(spark):
     assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
 
 
+def test_links_of_an_id_with_several_vectors(spark):
+    e1, e2 = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, e1, 1), (1, e2, 1), (2, [0.0, 1.0, 0.01], 1), (3, [0.0, 1.0, 0.02], 1), (4, [0.0, 0.0, 1.0], 1), (1, e1, 2)]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 0, 1), (1, 0, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
+def test_sketches_part_few_pairs_at_the_threshold():
+    rng = np.random.default_rng(1)
+    a, noise = rng.normal(size=(20_000, 64)), rng.normal(size=(20_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    noise -= (noise * a).sum(axis=1, keepdims=True) * a
+    b = 0.93 * a + np.sqrt(1 - 0.93**2) * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    apart = embedding_dedup._apart(embedding_dedup._sketches(a, 5), embedding_dedup._sketches(b, 5))
+    assert apart.max() <= embedding_dedup.most_bits(0.93) < 48
+    others = embedding_dedup._apart(embedding_dedup._sketches(a, 5), embedding_dedup._sketches(noise, 5))
+    assert (others <= embedding_dedup.most_bits(0.93)).mean() < 0.001
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup.near_vectors(empty).count() == 0
