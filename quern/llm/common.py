@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.operators.staging import shared_folder
+
 #: Words of a text: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of this machine where none is named, as in tests."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir()
+    """The folder in spark.checkpoint.dir, which all executors share; one of this machine where a local session names none."""
+    return shared_folder(spark)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .simhash import hex_of, near_duplicates
 from .token_counts import section_tokens
 from .toxicity import fit_toxicity, score_toxicity
 from .training import held_out
-from .url_filter import url_verdicts
+from .url_filter import hosts_in, url_verdicts
 
 URL_RULES = (
     ("allow", "org/"),
@@ -27,15 +28,8 @@ URL_RULES = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Hosts (with their subdomains) that are blocked where no rule fits.
-BLOCKED_HOSTS = (
-    "adult-x.example.net",
-    "ads-track.example.com",
-    "casino-win.example.com",
-    "cheap-pills.example.com",
-    "free-bets.example.com",
-    "spam-farm.example.com",
-)
+#: Hosts (with their subdomains) that are blocked where no rule fits: a file, so that a deployment can put in its own.
+BLOCK_LIST = Path(__file__).with_name("blocked_hosts.txt")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,11 +112,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, BLOCKED_HOSTS).select("page_id", "host", "path", "rule", "verdict")
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, hosts_in(BLOCK_LIST)).select("page_id", "host", "path", "rule", "verdict")
 
 
 _RULES_SQL = ", ".join(f"('{v}', '{e[: e.index('/')]}', '{e[e.index('/') :]}')" for v, e in URL_RULES)
-_BLOCKED_SQL = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+_BLOCKED_SQL = ", ".join(f"('{h}')" for h in hosts_in(BLOCK_LIST))
 OP10_SQL = rf"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -135,8 +129,8 @@ best AS (
   FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.t)
   GROUP BY ALL)
 SELECT page_id, host, path, rule,
-       coalesce(verdict, CASE WHEN path <> '' AND EXISTS (SELECT 1 FROM b WHERE host = b.h OR ends_with(host, '.' || b.h)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM best
+       coalesce(verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE bare = b.h OR ends_with(bare, '.' || b.h)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') AS bare FROM best)
 """
 
 #: All pairs of a label, exactly.

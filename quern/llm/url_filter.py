@@ -3,10 +3,12 @@
 An entry is a host (with all its subdomains) and the start of a path, with a verdict. The file holds, after a header,
 the sorted xxhash64 keys of the entries' full strings, their places in a blob, their verdicts and the blob itself. A
 URL's candidates are its host's suffixes, at label borders, times the path lengths that entries have. A host of the
-block list is stored without a path, and found by the suffixes alone, so that it holds for every URL of the host, with
-a path or without; a rule needs a path to fit. A batch of candidates is hashed, looked up by one vectorised binary search, and each hit is confirmed against the stored string,
-so that a digest collision decides nothing. The file goes to every executor through SparkContext.addFile: it is fetched
-again by executors that join later, and pages of it are read only where probed, whatever its size.
+block list is stored without a path, and found by the suffixes of the host less user and port, so that it holds for
+every URL of the host, with a path or without; a rule needs a path to fit. A batch of candidates is hashed, looked up by
+one vectorised binary search, and each hit is confirmed against the stored string, so that a digest collision decides
+nothing. The file is written to the shared folder and goes to every executor through SparkContext.addFile: it is fetched
+again by executors that join later, and pages of it are read only where probed, whatever its size. It is built by the
+driver, which holds the entries once: 100 bytes or so each.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule and the default verdict; rules
 of one string given twice are one rule (the first counts); the longest fitting entry wins, by characters of host and path
@@ -15,8 +17,7 @@ together, then by the longer host. Extra columns pass through; an empty table gi
 
 from __future__ import annotations
 
-import os
-import tempfile
+import re
 from collections.abc import Iterable, Iterator
 from pathlib import Path
 
@@ -27,6 +28,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.staging import published
+
 VERDICTS = ("allow", "block")
 _MAGIC = b"QUERNDX1"
 _OPEN: dict[str, DigestArray] = {}
@@ -53,7 +56,9 @@ class DigestArray:
         hashed = np.fromiter(map(xxhash.xxh64_intdigest, candidates), np.uint64, len(candidates))
         at = np.searchsorted(self.keys, hashed)
         found = np.full(len(candidates), -1, np.int64)
-        for i in np.flatnonzero(at < len(self.keys)):
+        if not len(self.keys):
+            return found
+        for i in np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == hashed):
             k = int(at[i])
             while k < len(self.keys) and self.keys[k] == hashed[i]:  # equal digests lie side by side
                 if self.blob[self.places[k] : self.places[k + 1]].tobytes() == candidates[i]:
@@ -63,8 +68,8 @@ class DigestArray:
         return found
 
 
-def build(entries: Iterable[tuple[str, str, bool]], path: str) -> None:
-    """Writes the file. entries: (host and path, like ``example.org/es/``, or a host alone; verdict; whether it is reported as a rule)."""
+def build(entries: Iterable[tuple[str, str, bool]]) -> bytes:
+    """The file's content. entries: (host and path, like ``example.org/es/``, or a host alone; verdict; whether it is reported as a rule)."""
     first: dict[bytes, int] = {}
     for text, verdict, is_rule in entries:
         first.setdefault(text.encode(), VERDICTS.index(verdict) + 2 * is_rule)
@@ -72,9 +77,14 @@ def build(entries: Iterable[tuple[str, str, bool]], path: str) -> None:
     lengths = sorted({len(text.decode()) - text.decode().index("/") for text in first if b"/" in text})
     blob = b"".join(text for _, text, _ in order)
     places = np.cumsum([0, *(len(text) for _, text, _ in order)]).astype("<u8")
-    with open(path, "wb") as out:
-        out.write(_MAGIC + np.array([len(order), len(lengths), len(blob)], "<u8").tobytes() + np.array(lengths, "<u4").tobytes())
-        out.write(np.array([k for k, _, _ in order], "<u8").tobytes() + places.tobytes() + np.array([m for _, _, m in order], "u1").tobytes() + blob)
+    head = _MAGIC + np.array([len(order), len(lengths), len(blob)], "<u8").tobytes() + np.array(lengths, "<u4").tobytes()
+    return head + np.array([k for k, _, _ in order], "<u8").tobytes() + places.tobytes() + np.array([m for _, _, m in order], "u1").tobytes() + blob
+
+
+def hosts_in(path: str | Path) -> list[str]:
+    """The hosts of a block list: a text file with one a line; blank lines and what follows ``#`` don't count."""
+    lines = (line.partition("#")[0].strip().lower() for line in Path(path).read_text(encoding="utf-8").splitlines())
+    return [host for host in lines if host]
 
 
 def host_of(url: Column) -> Column:
@@ -88,6 +98,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
+_USER, _PORT = re.compile(r"(?s)^.*@"), re.compile(r":[0-9]*$")
+
+
+def bare(host: str) -> str:
+    """The host less user and port."""
+    return _PORT.sub("", _USER.sub("", host))
+
+
 def _suffixes(host: str) -> list[str]:
     return [host, *(host[i + 1 :] for i, c in enumerate(host) if c == ".")]
 
@@ -98,13 +116,12 @@ def _judged(index: DigestArray, hosts: list[str], paths: list[str], default: str
     candidates: list[bytes] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
         if host:
-            for suffix in _suffixes(host):
-                for n in (0, *index.lengths):  # 0: a host of the block list
-                    if n > len(path):
-                        break
-                    owner.append(i)
-                    rank.append((len(suffix) + n, len(suffix)))
-                    candidates.append((suffix + path[:n]).encode("utf-8", "surrogatepass"))
+            listed = ((suffix, 0) for suffix in _suffixes(bare(host)))
+            ruled = ((suffix, n) for suffix in _suffixes(host) for n in index.lengths if n <= len(path))
+            for suffix, n in (*listed, *ruled):
+                owner.append(i)
+                rank.append((len(suffix) + n, len(suffix)))
+                candidates.append((suffix + path[:n]).encode("utf-8", "surrogatepass"))
     rules: list = [None] * len(hosts)
     verdicts = [default] * len(hosts)
     best: dict[tuple[int, int], tuple[int, int]] = {}
@@ -123,15 +140,11 @@ def _judged(index: DigestArray, hosts: list[str], paths: list[str], default: str
 
 def url_verdicts(pages: DataFrame, rules: Iterable[tuple[str, str]], blocked_hosts: Iterable[str] = (), url: str = "url", default: str = "allow") -> DataFrame:
     """pages with host, path, rule and verdict. rules: (verdict, entry). blocked_hosts decide where no rule fits."""
-    with tempfile.TemporaryDirectory() as folder:
-        local = os.path.join(folder, "index")
-        build([*((e, v, True) for v, e in rules), *((h, "block", False) for h in blocked_hosts)], local)
-        name = f"digests-{xxhash.xxh64_hexdigest(Path(local).read_bytes())}"
-        kept = os.path.join(tempfile.mkdtemp(prefix="digests-"), name)  # the driver serves it as long as it runs
-        os.replace(local, kept)
+    content = build([*((e, v, True) for v, e in rules), *((h, "block", False) for h in blocked_hosts)])
     sc = pages.sparkSession.sparkContext
+    name = f"digests-{xxhash.xxh64_hexdigest(content)}"
     if not any(f.endswith(f"/{name}") for f in sc.listFiles):
-        sc.addFile(kept)
+        sc.addFile(published(pages.sparkSession, name, content))
 
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         index = _OPEN.get(name) or _OPEN.setdefault(name, DigestArray(SparkFiles.get(name)))

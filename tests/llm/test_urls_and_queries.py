@@ -1,5 +1,7 @@
 """URL rules against a plain loop; the subpackage's queries against their SQL and the pipeline's stages."""
 
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from quern.llm import queries, url_filter
 
+BLOCKED = url_filter.hosts_in(queries.BLOCK_LIST)
+
 
 def plain(url, rules, blocked):
     host = path = ""
@@ -23,19 +27,22 @@ def plain(url, rules, blocked):
     fits = [(len(r), r, v) for v, r in rules if under(r[: r.index("/")]) and path.startswith(r[r.index("/") :])]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    return host, path, None, "block" if path and any(under(h) for h in blocked) else "allow"
+    # a listed host is meant whole: its home page, which has no path, and its other ports too
+    name = host.rsplit("@", 1)[-1]
+    name = name[: name.rindex(":")] if ":" in name and not name[name.rindex(":") + 1 :].strip("0123456789") else name
+    return host, path, None, "block" if any(name == h or name.endswith("." + h) for h in blocked) else "allow"
 
 
-URLS = [None, "", "no scheme", "http://EXAMPLE.org", "https://www.example.org/es/1?x#y", "http://a.example.org/en/15", "http://b.com/fr/", "http://b.com/de/x", "x://org/", "ftp://notexample.org/es/", "http://h?q/org/", "http://cheap-pills.example.com/en/1", "http://x.cheap-pills.example.com/fr/1", "a://b://example.org/es/", "http://é.org/\n", "http://" + "a." * 200 + "org/" + "p" * 5_000]
+URLS = ["http://casino-win.example.com", "http://casino-win.example.com?a=1", "http://casino-win.example.com:80/x", "http://u:p@casino-win.example.com/", "http://u@x.casino-win.example.com:", "http://casino-win.example.com:80x/", None, "", "no scheme", "http://EXAMPLE.org", "https://www.example.org/es/1?x#y", "http://a.example.org/en/15", "http://b.com/fr/", "http://b.com/de/x", "x://org/", "ftp://notexample.org/es/", "http://h?q/org/", "http://cheap-pills.example.com/en/1", "http://x.cheap-pills.example.com/fr/1", "a://b://example.org/es/", "http://é.org/\n", "http://" + "a." * 200 + "org/" + "p" * 5_000]
 
 
 def test_verdicts_equal_a_plain_loop(spark):
     rows = [(i, u, "clash") for i, u in enumerate(URLS * 2)] + [(None, URLS[4], "clash")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
-    out = url_filter.url_verdicts(pages, queries.URL_RULES, queries.BLOCKED_HOSTS).collect()
+    out = url_filter.url_verdicts(pages, queries.URL_RULES, BLOCKED).collect()
     assert len(out) == len(rows)
     for r in out:
-        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(r["url"], queries.URL_RULES, queries.BLOCKED_HOSTS)
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == plain(r["url"], queries.URL_RULES, BLOCKED)
     assert url_filter.url_verdicts(pages.limit(0), queries.URL_RULES).count() == 0
     assert {r["verdict"] for r in url_filter.url_verdicts(pages, ()).collect()} == {"allow"}
 
@@ -54,9 +61,13 @@ def test_blocked_hosts_are_blocked_without_a_path(spark):
         "http://own.example.org": "block",
         "spam-farm.example.com": "allow",
         "://": "allow",
+        "http://casino-win.example.com:80/x": "block",
+        "http://u@casino-win.example.com/": "block",
+        "http://u:p@a.casino-win.example.com:8080": "block",
+        "http://casino-win.example.com@b.example/": "allow",
     }
     pages = spark.createDataFrame([(u,) for u in want], "url string")
-    out = url_filter.url_verdicts(pages, queries.URL_RULES, (*queries.BLOCKED_HOSTS, "own.example.org")).collect()
+    out = url_filter.url_verdicts(pages, queries.URL_RULES, (*BLOCKED, "own.example.org")).collect()
     assert {r["url"]: r["verdict"] for r in out} == want
     assert {r["url"]: r["rule"] for r in out if r["rule"]} == {"http://own.example.org/x": "org/"}
 
@@ -65,7 +76,7 @@ def test_blocked_hosts_are_blocked_without_a_path(spark):
 @given(st.lists(st.text("ab./", min_size=1, max_size=6).map(lambda s: s + "/"), max_size=12), st.lists(st.text("ab./", max_size=7), max_size=12))
 def test_array_finds_what_it_holds(tmp_path_factory, entries, probes):
     path = str(tmp_path_factory.mktemp("index") / "i")
-    url_filter.build([(e, "block", True) for e in entries], path)
+    Path(path).write_bytes(url_filter.build([(e, "block", True) for e in entries]))
     index = url_filter.DigestArray(path)
     asked = [p.encode() for p in probes + entries]
     assert [f >= 0 for f in index.find(asked)] == [p.decode() in entries for p in asked]
@@ -73,7 +84,7 @@ def test_array_finds_what_it_holds(tmp_path_factory, entries, probes):
 
 def test_equal_digests_are_told_apart(tmp_path, monkeypatch):
     monkeypatch.setattr(url_filter.xxhash, "xxh64_intdigest", lambda x: 7)
-    url_filter.build([("a/", "block", True), ("b/", "allow", True)], str(tmp_path / "i"))
+    (tmp_path / "i").write_bytes(url_filter.build([("a/", "block", True), ("b/", "allow", True)]))
     index = url_filter.DigestArray(str(tmp_path / "i"))
     found = index.find([b"b/", b"c/", b"a/"])
     assert found[1] == -1 and {VERDICT(index, found[0]), VERDICT(index, found[2])} == {"allow", "block"}
