@@ -39,7 +39,8 @@ SURE = 4.0
 WORD_RATIO, STEM_RATIO = 12, 80
 _CACHE = 150_000
 
-_SPACED = re.compile(r"(?<!\w)(?:\w[\s.\-_*]+){3,}\w(?!\w)")
+#: Letters and separators share no character, so that a run of either is read in one way only.
+_SPACED = re.compile(r"(?<!\w)(?:[^\W_][\s.\-_*]++){3,}[^\W_](?!\w)")
 _SENTENCE = re.compile(r"[.!?\n]+\s*")
 _NOT_WORD = re.compile(r"[\W_]+")
 

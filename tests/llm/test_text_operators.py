@@ -483,3 +483,14 @@ def test_rare_forms_of_one_insult_are_learned():
     machine = toxicity.SequenceMachine().fit(texts, np.array(labels))
     insult, clean = machine.score(["the winter bragnulend walk.", "the winter garden walk."])
     assert insult > 0.5 > 0.3 > clean
+
+
+@pytest.mark.parametrize("filler", ["_", "_ ", "-", ". ", "* _", "a ", "a_"])
+def test_runs_of_separators_take_no_time(filler):
+    import time
+
+    from quern.llm.toxicity import words_of
+
+    began = time.perf_counter()
+    words = words_of("Name: " + filler * 10_000 + "John Smith, i d i o t")
+    assert time.perf_counter() - began < 1 and any(w.endswith("john") for w in words) and ("idiot" in words or filler == "a ")
