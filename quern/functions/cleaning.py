@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +52,12 @@ def normal_answer_numbers(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else number_aware(t))
 
 
+def register(spark: SparkSession) -> None:
+    """Makes the functions that SQL can't express callable from SQL by name."""
+    spark.udf.register("number_aware", normal_answer_numbers)
+    spark.udf.register("word_difference", word_difference)
+
+
 def bracket_free(text: Column) -> Column:
     """Without bracketed marks: `` [title]`` becomes ``. ``, other brackets go, double blanks halve; null is a blank."""
     cut = F.regexp_replace(F.replace(F.trim(text), F.lit(" [title]"), F.lit(". ")), r"\[.*?\]", "")
@@ -85,6 +92,35 @@ def with_periods(answers: Column) -> Column:
     return F.transform(trimmed, lambda a: F.when(a.endswith("."), a).otherwise(F.concat(a, F.lit("."))))
 
 
+def filled(template: str, **fields: Column) -> Column:
+    """The template with ``{name}`` replaced by each field; null fields are empty. Braces of other names stay."""
+    out, at = [], 0
+    for found in re.finditer(r"\{(\w+)\}", template):
+        if found[1] in fields:
+            out += [F.lit(template[at : found.start()]), F.coalesce(fields[found[1]].cast("string"), F.lit(""))]
+            at = found.end()
+    return F.concat(*out, F.lit(template[at:]))
+
+
+def choice_array(*choices: Column) -> Column:
+    """The choices that there are, trimmed, in order."""
+    return F.filter(F.array(*[F.trim(c) for c in choices]), lambda c: c.isNotNull() & (c != ""))
+
+
+def literal_list(text: Column) -> Column:
+    """The strings of a list written as ``['a', "b"]``; null where it can't be read."""
+    return F.from_json(text, "array<string>", {"allowSingleQuotes": "true"})
+
+
+def last_literal(text: Column) -> Column:
+    return F.try_element_at(literal_list(text), F.lit(-1))
+
+
+def joined_turns(turns: Column) -> Column:
+    """Turns on lines of their own; null ones are left out."""
+    return F.array_join(turns, "\n")
+
+
 def letter(i: Column) -> Column:
     return F.char(i + F.lit(65))
 

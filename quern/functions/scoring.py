@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.cleaning import as_number, number_aware
+from quern.operators.staging import staged
 
 
 def bag_f1(predicted: Column, gold: Column) -> Column:
@@ -135,6 +136,75 @@ def mean_scores(judged: DataFrame, missing: float = -1) -> DataFrame:
     return rows.groupingSets([["model", "turn"], ["model"]], "model", "turn").agg(F.avg("score").alias("score"), F.count(F.lit(1)).alias("n"))
 
 
+def judge_pairs(answers: DataFrame, questions: DataFrame, references: DataFrame | None = None, baseline: str | None = None) -> DataFrame:
+    """(question_id, model_1, model_2, answer_1, answer_2, question, reference): what a judge compares, question by question.
+
+    Every two models that answered a question, by name; with a baseline, each other model (first) against it. answers:
+    (question_id, model, answer); questions: (question_id, question); references: (question_id, reference), may lack some.
+    """
+    one, two = (answers.select("question_id", F.col("model").alias(f"model_{i}"), F.col("answer").alias(f"answer_{i}")) for i in (1, 2))
+    if baseline is None:
+        pairs = one.join(two, "question_id").filter(F.col("model_1") < F.col("model_2"))
+    else:
+        pairs = one.filter(F.col("model_1") != baseline).join(two.filter(F.col("model_2") == baseline), "question_id")
+    return _with_question(pairs, questions, references)
+
+
+def judge_single(answers: DataFrame, questions: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """(question_id, model, answer, question, reference): each answer to be graded by itself."""
+    return _with_question(answers.select("question_id", "model", "answer"), questions, references)
+
+
+def _with_question(rows: DataFrame, questions: DataFrame, references: DataFrame | None) -> DataFrame:
+    rows = rows.join(questions.select("question_id", "question"), "question_id")
+    if references is None:
+        return rows.withColumn("reference", F.lit(None).cast("string"))
+    return rows.join(references.select("question_id", "reference"), "question_id", "left")
+
+
+def later_wins(results: DataFrame, order: str, key: str = "key", value: str = "value") -> DataFrame:
+    """(key, value): the union of result dictionaries, given as rows; of one key the value of the largest order."""
+    return results.groupBy(key).agg(F.max_by(value, order).alias(value))
+
+
+def mean_of_rates(*rates: Column) -> Column:
+    """The mean of several aggregated rates, as of strict and loose accuracies by prompt and by instruction."""
+    total = rates[0]
+    for rate in rates[1:]:
+        total = total + rate
+    return total / len(rates)
+
+
+def latest(df: DataFrame, order: Sequence[str], per: Sequence[str] = ()) -> DataFrame:
+    """The row of the largest order (of each group)."""
+    return df.groupBy(*per).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("r")).select("r.*")
+
+
+def best(df: DataFrame, value: str, ties: Sequence[str], per: Sequence[str] = (), lower: bool = True) -> DataFrame:
+    """The row of the least (or largest) value of each group; of several, the first in the order of ties."""
+    place = F.struct((F.col(value) if lower else -F.col(value)).alias("v"), *ties)
+    return df.filter(F.col(value).isNotNull()).groupBy(*per).agg(F.min_by(F.struct(*df.columns), place).alias("r")).select("r.*")
+
+
+def best_threshold(rows: DataFrame, doubt: str = "doubt", score: str = "score", has_answer: str = "has_answer") -> DataFrame:
+    """One row (best, threshold): the percentage reached if questions of a doubt above the threshold are left unanswered.
+
+    Answering gains a question's score if it has an answer, and loses one point if it has none. Doubts are dealt by
+    ranges, which are summed on their own and offset by the sums before them; of equal gains the least doubt counts.
+    """
+    gain = F.when(F.col(has_answer), F.col(score).cast("double")).otherwise(F.lit(-1.0))
+    at = rows.groupBy(F.col(doubt).alias("d")).agg(F.sum(gain).alias("g"), F.count_if(~F.col(has_answer)).alias("none"), F.count(F.lit(1)).alias("n"))
+    at = staged(at.repartitionByRange("d").withColumn("_r", F.spark_partition_id()))
+    before = F.sum("s").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1))
+    sums = at.groupBy("_r").agg(F.sum("g").alias("s")).select("_r", F.coalesce(before, F.lit(0.0)).alias("b"))  # a row for each range
+    reached = at.join(F.broadcast(sums), "_r").withColumn("x", F.col("b") + F.sum("g").over(Window.partitionBy("_r").orderBy("d")))
+    whole = at.agg(F.sum("none").alias("none"), F.sum("n").alias("n"))
+    top = reached.groupBy().agg(F.max(F.struct("x", (-F.col("d")).alias("d"))).alias("t"))
+    both = top.join(whole, F.lit(True))
+    use = F.col("t.x") > 0
+    return both.select((100.0 * (F.col("none") + F.when(use, F.col("t.x")).otherwise(0.0)) / F.col("n")).alias("best"), F.when(use, -F.col("t.d")).otherwise(0.0).alias("threshold"))
+
+
 def win_rates(judged: DataFrame) -> DataFrame:
     """Per model: wins, losses, ties and rates, from (model_1, model_2, g1_winner, g2_winner).
 

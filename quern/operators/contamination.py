@@ -1,8 +1,9 @@
 """Benchmark contamination: n-gram joins instead of a search index.
 
 Documents' grams meet those of the benchmark as 64-bit hashes, and are compared as text where hashes are equal. Only
-positions travel; texts are read again for the few documents that are hit. Whether the benchmark's side is broadcast
-is left to Spark's statistics: it may hold millions of grams.
+positions travel; texts are read again for the few documents that are hit, where they lie: the keys of these documents
+are broadcast as long as their count allows. So are the benchmark's grams; millions of them are joined by a shuffle of
+hashes and positions.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import let, ngrams, token_offsets, tokens
-from quern.operators.staging import staged
+from quern.operators.staging import light, staged
 
 
 def gram_rows(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
@@ -58,19 +59,24 @@ def hits(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "te
     Documents give a hash for each run of n tokens, never the run itself. What meets a gram's hash is written down once,
     and the tokens of those few documents are then compared with the grams.
     """
-    queries = grams.select("n", "gram").distinct().withColumn("_h", F.xxhash64(F.split("gram", " ")))
-    sizes = sorted(r["n"] for r in grams.select("n").distinct().collect())  # the few lengths in use
+    queries = staged(grams.select("n", "gram").distinct().withColumn("_h", F.xxhash64(F.split("gram", " "))))
+    sizes = sorted(r["n"] for r in queries.select("n").distinct().collect())  # the few lengths in use
     own = tokens(F.col(text), mode)
     met = None
     for n in sizes:
-        part = docs.select(key, F.posexplode(let(own, _run_hashes(n))).alias("pos", "_h")).join(queries.filter(F.col("n") == n), "_h").select(key, "pos", "n", "gram")
+        part = docs.select(key, F.posexplode(let(own, _run_hashes(n))).alias("pos", "_h")).join(light(queries.filter(F.col("n") == n)), "_h").select(key, "pos", "n", "gram")
         met = part if met is None else met.unionByName(part)
     if met is None:
         return docs.limit(0).select(key, F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit("").alias("gram"))
     met = staged(met)
-    words = docs.join(met.select(key).distinct(), key, "left_semi").select(key, own.alias("_w"))
+    words = touched(docs, met, key).select(key, own.alias("_w"))
     same = F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ") == F.col("gram")
-    return met.join(words, key).filter(same).select(key, "pos", "n", "gram").distinct()
+    return staged(words.join(light(met), key).filter(same).select(key, "pos", "n", "gram").distinct())
+
+
+def touched(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The documents with rows in found, without a shuffle of texts unless they are very many."""
+    return docs.join(light(found.select(key).distinct()), key, "left_semi")
 
 
 def contaminated_documents(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -99,8 +105,8 @@ def contaminated_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", t
     greedy: a span reaches to the neighbouring tokens. delimiter (one character): a span grows to the delimited
     segments that it touches, with the delimiter after the last of them unless no segment follows.
     """
-    touched = docs.join(found.select(key).distinct(), key, "left_semi")
-    at = token_offsets(touched, key, text, mode)
+    hit = staged(touched(docs, found, key).select(key, text))
+    at = token_offsets(hit, key, text, mode)
     if greedy:
         order = Window.partitionBy(key).orderBy("pos")
         at = at.withColumn("_from", F.coalesce(F.lag("end").over(order), F.col("start"))).withColumn("_to", F.coalesce(F.lead("start").over(order), F.col("end")))
@@ -110,7 +116,7 @@ def contaminated_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", t
     spans = first.join(at.select(key, "pos", F.col("_from").alias("start")), [key, "pos"])
     spans = spans.join(at.select(key, F.col("pos").alias("_last"), F.col("_to").alias("end")), [key, "_last"]).select(key, "start", "end").distinct()
     if delimiter:
-        spans = _rounded(touched, merged(spans, key), key, text, delimiter)
+        spans = _rounded(hit, merged(spans, key), key, text, delimiter)
     return merged(spans, key)
 
 
@@ -139,8 +145,9 @@ def decontaminate(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
     A document is dropped if its fraction is the threshold or more, or, with drop_whole, if it has any span. Rows that
     are dropped stay, marked, so that statistics can count them; an empty text has fraction 0.
     """
+    spans = staged(spans)
     per_doc = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    rows = docs.join(per_doc, key, "left")
+    rows = docs.join(light(per_doc, spans.count()), key, "left")
     covered = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     fraction = F.when(F.col("_spans").isNull() | (F.length(text) == 0), F.lit(0.0)).otherwise(covered / F.length(text))
     rows = rows.withColumn("contaminated", F.col("_spans").isNotNull()).withColumn("fraction", fraction)

@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.predicates import Field, compiled, struct_field
-from quern.operators.staging import with_ordinal
+from quern.operators.staging import rank_within, with_ordinal
+
+#: Hex digits of a hash that make a range of a large group: 4096 ranges.
+RANGE_DIGITS = 3
 
 
 def keep_columns(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -79,6 +82,21 @@ def quotas_filled(sample: DataFrame, quotas: Mapping[str, int], value: str) -> D
     return wanted.join(taken, value, "left").select(value, "quota", F.coalesce("taken", F.lit(0)).alias("taken"), F.coalesce(F.col("taken") == F.col("quota"), F.col("quota") == 0).alias("success"))
 
 
+def first_rows(df: DataFrame, k: int, *order: str | Column) -> DataFrame:
+    """The first k rows of the whole frame in the given order; Spark keeps k rows of each task."""
+    return df.orderBy(*order).limit(k)
+
+
+def by_length(df: DataFrame, key: str = "doc_id", text: str = "text", longest_first: bool = True) -> DataFrame:
+    """df with place (in the order of lengths, ties by key) and restored (in the order of keys), both from 0.
+
+    Rows of like lengths make even batches; sorting the answers by restored brings back the order they came in.
+    """
+    size = F.coalesce(F.length(text), F.lit(0)).cast("long")
+    rows = df.withColumn("_size", -size if longest_first else size)
+    return with_ordinal(with_ordinal(rows, "_size", key, to="place"), key, "_size", to="restored").drop("_size")
+
+
 def split_sizes(examples: Mapping[str, int | None], context: int, tokens_per_doc: float, files: int, available: int | None = None) -> dict[str, int | None]:
     """Documents per split in a file; None is the one split that takes the rest.
 
@@ -109,7 +127,7 @@ def assign_splits(df: DataFrame, sizes: Mapping[str, int | None], key: str = "do
     """
     ordered = df.withColumn("_hash", hash_order(key, seed))
     if per:
-        place = ordered.withColumn("_place", F.row_number().over(Window.partitionBy(per).orderBy("_hash", key)) - 1)
+        place = rank_within(ordered, [per], F.substring("_hash", 1, RANGE_DIGITS), ["_hash", key], "_place")
     else:
         place = with_ordinal(ordered, "_hash", key, to="_place")
     split, upto = F.lit(next((s for s, n in sizes.items() if n is None), None)), []
@@ -160,11 +178,33 @@ def choose(df: DataFrame, counts: Mapping[str, int], source: str = "source", key
     sizes = df.groupBy(source).agg(F.count(F.lit(1)).alias("_n"))
     wanted = df.sparkSession.createDataFrame(list(counts.items()), f"{source} string, _want long")
     plan = sizes.join(wanted, source)
-    rows = df.join(plan, source).withColumn("_place", F.row_number().over(Window.partitionBy(source).orderBy(hash_order(key, seed), key)) - 1)
+    rows = df.join(F.broadcast(plan), source).withColumn("_hash", hash_order(key, seed))  # a row for each count that was asked for
+    rows = rank_within(rows, [source], F.substring("_hash", 1, RANGE_DIGITS), ["_hash", key], "_place").drop("_hash")
     epochs = F.ceil(F.greatest(F.col("_want") - F.col("_place"), F.lit(0)) / F.col("_n")).cast("int")
     return rows.withColumn("epoch", F.explode(F.when(epochs > 0, F.sequence(F.lit(0), epochs - 1)))).drop("_n", "_want", "_place")
 
 
+def proportional_counts(sizes: Mapping[str, int], weights: Mapping[str, float], total: int | None = None) -> dict[str, int]:
+    """Rows to choose of each source so that they stand in proportion to the weights; total: all there are, if not given.
+
+    Each gets the whole part of its share; what is left over goes, one each, to the largest remainders (ties: by name).
+    """
+    total = sum(sizes.get(s, 0) for s in weights) if total is None else total
+    whole = sum(weights.values())
+    shares = {s: total * w / whole for s, w in weights.items()} if whole else {}
+    counts = {s: math.floor(x) for s, x in shares.items()}
+    for s in sorted(shares, key=lambda s: (counts[s] - shares[s], s))[: total - sum(counts.values())] if shares else []:
+        counts[s] += 1
+    return counts
+
+
+def choose_proportions(df: DataFrame, weights: Mapping[str, float], total: int | None = None, source: str = "source", key: str = "doc_id", seed: int = 0) -> DataFrame:
+    """choose with counts in proportion to the weights of the sources."""
+    listed = df.filter(F.col(source).isin(list(weights)))
+    sizes = {r[source]: r["n"] for r in listed.groupBy(source).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each weight at most
+    return choose(listed, proportional_counts(sizes, {s: w for s, w in weights.items() if s in sizes}, total), source, key, seed)
+
+
 def mix_fractions(parts: Sequence[tuple[DataFrame, float | None, bool]], key: str = "doc_id", seed: int = 0) -> tuple[DataFrame, list[DataFrame]]:
     """The union of hash-chosen fractions (None: all) of each part, and what each part has left.
 

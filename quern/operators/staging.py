@@ -40,6 +40,36 @@ def published(spark: SparkSession, name: str, content: bytes) -> str:
     return path.toString()
 
 
+#: Rows that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def light(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, staged, and marked for broadcast where it has at most BROADCAST_ROWS rows (or entries, as counted by the caller).
+
+    A staged frame has no statistics, so that Spark by itself would shuffle the other side, texts and all.
+    """
+    df = staged(df)
+    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+
+
+def rank_within(df: DataFrame, group: list[str], range_: Column, order: list[str], to: str) -> DataFrame:
+    """Adds to: each row's place (from 0, gapless) in its group, by the order, of which range_ is a coarser form.
+
+    A group may hold any share of the rows: each of its ranges is sorted on its own and offset by the sizes of those
+    before it. Null groups are groups.
+    """
+    df = df.withColumn("_b", range_)
+    key = [*group, "_b"]
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    sizes = sizes.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(key)], "_before")
+    own = df.withColumn("_own", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1)
+    same = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(key)]
+    placed = own.join(sizes, same, "inner").withColumn(to, (F.col("_own") + F.col("_before")).cast("long"))
+    return placed.drop("_b", "_own", "_before", *[f"_g{i}" for i in range(len(key))])
+
+
 def with_ordinal(df: DataFrame, *order: str, to: str = "ordinal") -> DataFrame:
     """Adds each row's place (from 0) in the order of the columns, which should tell rows apart.
 

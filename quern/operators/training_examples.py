@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import tokens
-from quern.operators.staging import even_part, staged, with_ordinal
+from quern.operators.staging import even_part, light, staged, with_ordinal
 
 
 def vocabulary(docs: DataFrame, text: str = "text", special: int = 1) -> DataFrame:
     """(term, id): distinct word tokens numbered in their order, after `special` reserved ids."""
-    terms = docs.select(F.explode(tokens(F.col(text))).alias("term")).distinct()
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
     return with_ordinal(terms, "term", to="id").withColumn("id", (F.col("id") + special).cast("int"))
 
 
+#: Terms of a vocabulary that each worker holds at most; a larger one is joined to the tokens.
+VOCABULARY = 1_000_000
+
+
 def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
-    """(key, ids): the word ids of each non-empty text, with an end token. The deterministic default tokeniser."""
+    """(key, ids): the word ids of each non-empty text, with an end token. The deterministic default tokeniser.
+
+    Words that the vocabulary lacks are left out. Documents are encoded where they lie, in Arrow batches, as long as the
+    vocabulary has at most VOCABULARY terms.
+    """
     rows = docs.filter(F.length(text) > 0)
+    vocab = staged(vocab.select("term", F.col("id").cast("int").alias("id")))
+    if vocab.count() <= VOCABULARY:
+        known = vocab.toPandas()
+        shared = docs.sparkSession.sparkContext.broadcast((known["term"].tolist(), known["id"].to_numpy(np.int32)))  # VOCABULARY terms at most
+        schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, ids = pa.array(shared.value[0], pa.string()), shared.value[1]
+            for batch in batches:
+                found = batch.column(1)
+                at = pc.index_in(found.flatten().cast(pa.string()), value_set=terms)
+                there = np.asarray(at.is_valid())
+                sizes = np.diff(found.offsets.to_numpy())
+                of = np.repeat(np.arange(len(sizes)), sizes)[there]
+                held = np.bincount(of, minlength=len(sizes))
+                edges = np.concatenate([[0], np.cumsum(held + 1)])
+                out = np.full(edges[-1], end, np.int32)
+                out[np.arange(len(of)) + of] = ids[at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out))], names=[key, "ids"])
+
+        return rows.select(key, tokens(F.col(text)).alias("t")).mapInArrow(encode, schema)
     placed = rows.select(key, F.posexplode_outer(tokens(F.col(text))).alias("pos", "term"))
     known = placed.join(vocab, "term", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("p"))
     return known.select(key, F.concat(F.col("p.id"), F.array(F.lit(end))).alias("ids"))
@@ -50,12 +81,10 @@ def pack_stream(encoded: DataFrame, context: int, tokens_per_chunk: int, key: st
     rows = staged(rows)
     totals = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_tokens"))
     plan = totals.withColumn("_chunks", F.least(F.greatest(F.lit(1), F.ceil(F.col("_tokens") / tokens_per_chunk)), F.col("_docs")).cast("int"))
-    placed = rows.select("shard", "_key", "_n", "_source")
-    if shard:
-        placed = placed.withColumn("_o", F.row_number().over(Window.partitionBy("shard").orderBy("_key")) - 1)
-    else:
-        placed = with_ordinal(placed, "_key", to="_o")
-    placed = placed.join(F.broadcast(plan), "shard") if not shard else placed.join(plan, "shard")
+    plan = light(plan)
+    placed = staged(with_ordinal(rows.select("shard", "_key", "_n", "_source"), "shard", "_key", to="_o"))  # by ranges: a shard may hold all rows
+    firsts = placed.groupBy("shard").agg(F.min("_o").alias("_zero"))
+    placed = placed.join(light(firsts), "shard").withColumn("_o", F.col("_o") - F.col("_zero")).drop("_zero").join(plan, "shard")
     size, larger = F.floor(F.col("_docs") / F.col("_chunks")), F.col("_docs") % F.col("_chunks")
     edge = larger * (size + 1)
     chunk = F.when(F.col("_o") < edge, F.floor(F.col("_o") / (size + 1))).otherwise(larger + F.floor((F.col("_o") - edge) / size))
@@ -116,7 +145,7 @@ def dataset_report(parts: DataFrame, context: int, token_units: float = 1e9, sam
         F.sum("docs_dropped").alias("contaminated_docs"),
         F.sum("docs_before").alias("total_docs_pre_decontam"),
         F.bool_and("complete").alias("decontam_successful"),
-        (of("train", "samples") / of("train", "shards")).alias("avg_samples_per_shard"),
+        F.try_divide(of("train", "samples"), of("train", "shards")).alias("avg_samples_per_shard"),
     )
     return (
         rows.withColumn("total_tokens", F.col("dev_tokens") + F.col("train_tokens"))
@@ -131,6 +160,20 @@ def shard_of(df: DataFrame, shards: int, *order: str) -> DataFrame:
     return with_ordinal(df, *order, to="_o").withColumn("shard", even_part(F.col("_o"), total, shards)).drop("_o")
 
 
+def special_tokens(first: int, names: Sequence[str]) -> dict[str, int]:
+    """The ids of special tokens, which follow an ordinary vocabulary of `first` ids, in the order given."""
+    if len(set(names)) < len(names):
+        raise ValueError("a special token is named twice")
+    return {name: first + i for i, name in enumerate(names)}
+
+
+def token_ids(words: Column, table: Mapping[str, int], unknown: int | None = None) -> Column:
+    """The ids of an array of tokens in a small table; others are unknown, or left out."""
+    known = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    ids = F.transform(words, lambda w: F.coalesce(known[w], F.lit(unknown).cast("int")))
+    return ids if unknown is not None else F.filter(ids, lambda i: i.isNotNull())
+
+
 def right_padded(ids: Column, length: int, pad: int) -> Column:
     """ids cut to the length and filled up with pad."""
     cut = F.slice(ids, 1, length)

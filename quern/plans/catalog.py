@@ -12,6 +12,7 @@ from quern.functions.predicates import compiled, json_field
 from quern.functions.tokens import ngrams, token_offsets, tokens
 from quern.operators import chat, contamination, curation, dedup
 from quern.operators import training_examples as examples
+from quern.operators.staging import staged
 from quern.plans import pipeline
 from quern.sources import documents
 from quern.streaming import incremental
@@ -122,19 +123,19 @@ def _marked(t, threshold=0.5, replacement="", drop_whole=False):
     return contamination.decontaminate(t("documents"), _spans(t), threshold=threshold, replacement=replacement, drop_whole=drop_whole)
 
 
-@query(f"{FRACTION_SQL} SELECT doc_id, round(fraction, 9) AS fraction, contaminated AND fraction >= 0.5 AS dropped FROM x WHERE contaminated")
+@query(f"{FRACTION_SQL} SELECT doc_id, contaminated, round(fraction, 9) AS fraction, contaminated AND fraction >= 0.5 AS dropped FROM x")
 def decontam_drop(t):
-    return _marked(t).filter("contaminated").select("doc_id", F.round("fraction", 9).alias("fraction"), "dropped")
+    return _marked(t).select("doc_id", "contaminated", F.round("fraction", 9).alias("fraction"), "dropped")
 
 
 @query(
     rf"""WITH {SPANS_SQL},
 v AS (SELECT doc_id, "start", "end", coalesce(lag("end") OVER (PARTITION BY doc_id ORDER BY "start"), 0) AS prev FROM m),
 c AS (SELECT v.doc_id, string_agg(substr(d.text, prev + 1, "start" - prev) || '[cut]', '' ORDER BY "start") AS head, max("end") AS last FROM v JOIN documents d USING (doc_id) GROUP BY v.doc_id)
-SELECT c.doc_id, head || substr(d.text, last + 1) AS text FROM c JOIN documents d USING (doc_id)"""
+SELECT d.doc_id, md5(coalesce(head || substr(d.text, last + 1), d.text)) AS text_md5 FROM documents d LEFT JOIN c USING (doc_id)"""
 )
 def decontam_replace(t):
-    return _marked(t, 2.0, "[cut]").filter("contaminated").select("doc_id", "text")
+    return _marked(t, 2.0, "[cut]").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(
@@ -351,7 +352,7 @@ def pack_examples(t):
     f"{PACK_SQL} SELECT 0 AS shard, (SELECT count(*) FROM n) AS docs, (SELECT sum(n)::BIGINT FROM n) AS num_tokens, (SELECT (sum(n) - sum(n) % 512)::BIGINT FROM n) AS num_tokens_floor, count(*) AS examples, count(*) * 512 AS packed_tokens FROM p"
 )
 def pack_manifest(t):
-    encoded = _encoded(t)
+    encoded = staged(_encoded(t))
     return examples.manifest(encoded, examples.pack_stream(encoded, 512, 50_000), 512)
 
 
@@ -598,6 +599,4 @@ def top_orders(t):
     return t("orders").withColumn("r", place).filter("r <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-def idle_customers(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+from quern.plans import evaluation_catalog  # noqa: E402, F401  (registers its queries)

@@ -6,11 +6,11 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.operators.staging import even_part, with_ordinal
+from quern.operators.staging import even_part, light, with_ordinal
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None = None, ordinals: bool = False) -> DataFrame:
@@ -22,7 +22,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None
     if path.rstrip("*").endswith((".zst", ".zstd")):
         lines = _zstd_lines(spark, path)
     elif ordinals:
-        lines = _whole_text(spark, path)
+        lines = _numbered_lines(spark, path)
     elif schema is not None:
         return spark.read.schema(schema).json(path)
     else:
@@ -35,10 +35,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None
     return rows.select(*names, F.from_json("value", kind).alias("r")).select(*names, "r.*")
 
 
-def _whole_text(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and number: files are read whole, each by one task, as compressed ones must be."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("path"), "value")
-    return whole.select("path", F.posexplode(F.split("value", "\n", -1)).alias("line_num", "value")).withColumn("line_num", F.col("line_num").cast("long"))
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines with their file and number. Files are read as Spark splits them, never whole.
+
+    Lines of a block follow each other, so that a line's number is its place behind the block's first line plus the lines
+    of the file's blocks before. Only a row for each block crosses the network.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    before = F.sum("_n").over(Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("path", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(before, F.lit(0)))
+    placed = lines.join(light(blocks.drop("_n")), ["path", "_block"])
+    return placed.select("path", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_num"), "value")
 
 
 def _zstd_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -107,8 +114,6 @@ def indexing_accounts(read: DataFrame, kept: DataFrame, path: str = "path") -> D
 
 def benchmark_documents(items: DataFrame, order: str, text: Column, task: Column, split: Column) -> DataFrame:
     """(id, source, split, index, text): items numbered per task and split; those without text use up a number and go."""
-    from pyspark.sql import Window
-
     rows = items.select(task.alias("source"), split.alias("split"), text.alias("text"), F.col(order).alias("_o"))
     rows = rows.withColumn("index", F.row_number().over(Window.partitionBy("source", "split").orderBy("_o")) - 1)
     return rows.filter("text IS NOT NULL").select(F.concat_ws("-", "source", "split", F.col("index").cast("string")).alias("id"), "source", "split", "index", "text")
@@ -127,25 +132,47 @@ def shard_urls(urls: DataFrame, shards: int, order: str) -> DataFrame:
     return rows.withColumn("shard_name", F.concat(F.lit("shard-"), F.col("shard").cast("string"), F.lit(f"-of-{shards}")))
 
 
+def destination(path: Column, root: str, to: str, suffixes: Mapping[str, str] | None = None) -> Column:
+    """Where a file below root goes below `to`, with its suffix mapped: the longest that fits; others stay."""
+    moved = F.when(path.startswith(root), F.concat(F.lit(to), F.substring(path, F.lit(len(root) + 1), F.length(path)))).otherwise(path)
+    out = moved
+    for old, new in sorted((suffixes or {}).items(), key=lambda x: len(x[0])):
+        out = F.when(moved.endswith(old), F.concat(F.substring(moved, F.lit(1), F.length(moved) - len(old)), F.lit(new))).otherwise(out)
+    return out
+
+
+def empty_files(accounts: DataFrame, path: str = "path", kept: str = "num_docs_added") -> DataFrame:
+    """The files that nothing is left of, to be removed."""
+    return accounts.filter(F.col(kept) == 0).select(path)
+
+
+def shards_of_ranks(sharded: DataFrame, world: int) -> DataFrame:
+    """(rank, shards): every rank with the sorted shards that are its own; ranks without any have none."""
+    ranks = sharded.sparkSession.range(world).select(F.col("id").cast("int").alias("rank"))
+    own = sharded.select("shard").distinct().groupBy((F.col("shard") % world).cast("int").alias("rank")).agg(F.array_sort(F.collect_list("shard")).alias("shards"))
+    return ranks.join(own, "rank", "left").select("rank", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
+
+
 def of_rank(sharded: DataFrame, rank: int, world: int) -> DataFrame:
     """The shards of one of `world` ranks."""
     return sharded.filter(F.col("shard") % world == rank)
 
 
-def write_token_binaries(encoded: DataFrame, folder: str, key: str = "doc_id") -> DataFrame:
-    """Packs ids (array<int>) into binaries: (part, tokens BINARY of uint32, counts BINARY of uint32) rows as Parquet.
+def write_token_binaries(encoded: DataFrame, folder: str, key: str = "doc_id", docs_per_part: int = 10_000) -> DataFrame:
+    """Packs ids (array<int>) into binaries: (part, first, tokens BINARY of uint32, counts BINARY of uint32) rows as Parquet.
 
-    counts holds the tokens of each document and, last, the number of documents. Parts are ranges of the key; a part's
-    rows go through in order, a batch at a time.
+    counts holds the tokens of each document and, last, the number of documents. A part is docs_per_part documents in the
+    order of their keys, whatever batches or partitions they come in; it must fit into a task's memory.
     """
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = [np.asarray(x, "<u4") for x in batch["ids"]]
-            counts = np.array([*(len(x) for x in ids), len(ids)], "<u4")
-            yield pd.DataFrame({"first": [str(batch[key].iloc[0])], "tokens": [b"".join(x.tobytes() for x in ids)], "counts": [counts.tobytes()]})
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_o")
+        ids = [np.asarray(x, "<u4") for x in part["ids"]]
+        counts = np.array([*(len(x) for x in ids), len(ids)], "<u4")
+        return pd.DataFrame({"part": [part["part"].iloc[0]], "first": [str(part[key].iloc[0])], "tokens": [b"".join(x.tobytes() for x in ids)], "counts": [counts.tobytes()]})
 
-    rows = encoded.repartitionByRange(key).sortWithinPartitions(key).select(key, "ids").mapInPandas(pack, "first string, tokens binary, counts binary")
+    placed = with_ordinal(encoded.select(key, "ids"), key, to="_o").withColumn("part", F.floor(F.col("_o") / docs_per_part).cast("long"))
+    rows = placed.groupBy("part").applyInPandas(pack, "part long, first string, tokens binary, counts binary")
     rows.write.mode("overwrite").parquet(folder)
     return encoded.sparkSession.read.parquet(folder)
 

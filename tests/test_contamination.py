@@ -72,3 +72,21 @@ def test_standard_tokens_keep_inner_marks(spark):
 def test_short_texts_have_one_or_no_gram(spark):
     df = spark.createDataFrame([("a b",), ("",)], "t string")
     assert [r[0] for r in df.select(ngrams(tokens(F.col("t")), 3, 2)).collect()] == [["a b"], []]
+
+
+def test_texts_stay_where_they_are(spark, sf):
+    """No shuffle lies between a scan of the documents' texts and the rows that come out."""
+    from quern.plans import catalog
+
+    for name in ("contaminated_docs_13", "contaminated_spans", "decontam_replace"):
+        lines = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert any("doc_id" in line for line in lines)
+        for i, line in enumerate(lines):
+            if "Scan parquet" in line and "text" in line and "documents.parquet" in line:
+                depth, above = line.index("Scan"), []
+                for upper in reversed(lines[:i]):
+                    at = len(upper) - len(upper.lstrip(" :+-*()0123456789"))
+                    if at < depth:
+                        depth = at
+                        above.append(upper)
+                assert not any("Exchange" in u and "Broadcast" not in u for u in above), (name, above)

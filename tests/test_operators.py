@@ -187,3 +187,45 @@ def test_text_cleaning_keeps_questions(spark, tmp_path):
     got = {r["item_id"]: (r["question"], r["stopped"], r["last"]) for r in catalog.QUERIES["text_cleaning"](spark, str(tmp_path)).collect()}
     want = [("Who is it?", "Who is it?", "it?"), ("Is it", "Is it 5?", "5?"), ("a  ?", "a  ?", "?"), ("all of  the rest", "all of  ", "rest."), (None, None, None)]
     assert got == dict(enumerate(want))
+
+
+def test_lines_are_numbered_across_blocks(spark, tmp_path):
+    lines = [f'{{"id": {i}}}' if i % 5 else "" for i in range(4_000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.jsonl").write_text('{"id": 9}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = documents.read_jsonl(spark, f"{tmp_path}/*.jsonl", "id long", ordinals=True)
+        assert got.rdd.getNumPartitions() > 3
+        found = {(r["path"][-7:], r["line_num"]): r["id"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert found == {**{("a.jsonl", i): i for i in range(4_000) if i % 5}, ("b.jsonl", 0): 9}
+
+
+def test_counts_follow_proportions():
+    counts = curation.proportional_counts({"a": 10, "b": 90}, {"a": 1.0, "b": 2.0})
+    assert counts == {"a": 33, "b": 67}
+    assert curation.proportional_counts({"a": 10}, {"a": 1.0, "b": 1.0}, 5) == {"a": 3, "b": 2} and curation.proportional_counts({}, {}) == {}
+
+
+@pytest.mark.parametrize("per", ["source", None])
+def test_large_groups_split_as_small_ones(spark, per):
+    rows = spark.createDataFrame([(i, "hot" if i % 10 else None if i % 20 else "cold") for i in range(1_000)], "doc_id long, source string")
+    out = curation.assign_splits(rows, {"dev": 7, "test": 5, "train": None}, per=per)
+    counts = {(r["source"] if per else 0, r["split"]): r["count"] for r in out.groupBy(*([per] if per else []), "split").count().collect()}
+    assert counts == ({("hot", "dev"): 7, ("hot", "test"): 5, ("hot", "train"): 888, (None, "dev"): 7, (None, "test"): 5, (None, "train"): 38, ("cold", "dev"): 7, ("cold", "test"): 5, ("cold", "train"): 38} if per else {(0, "dev"): 7, (0, "test"): 5, (0, "train"): 988})
+
+
+def test_best_threshold_is_that_of_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [(round(float(rng.uniform()), 2), float(rng.integers(0, 3)) / 2, bool(rng.integers(0, 4) > 0)) for _ in range(300)]
+    best, at, now = 0.0, 0.0, 0.0
+    for doubt in sorted({r[0] for r in rows}):
+        now += sum(r[1] if r[2] else -1.0 for r in rows if r[0] == doubt)
+        if now > best:
+            best, at = now, doubt
+    got = scoring.best_threshold(spark.createDataFrame(rows, "doubt double, score double, has_answer boolean")).first()
+    assert abs(got["best"] - 100 * (best + sum(not r[2] for r in rows)) / len(rows)) < 1e-9 and got["threshold"] == at
