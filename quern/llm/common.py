@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but those used under names that clash with nothing, and a function that names them as before."""
+    names = df.columns
+    plain = [n if n in used else f"c{i}__aside" for i, n in enumerate(names)]
+    back = dict(zip(plain, names, strict=True))
+
+    def restored(out: DataFrame) -> DataFrame:
+        return out.toDF(*[back.get(c, c) for c in out.columns])
+
+    return df.toDF(*plain), restored
+
+
 def join_hot(rows: DataFrame, keyed: DataFrame, key: str, weight: str, share: int = 1000) -> DataFrame:
     """Inner join of rows with keyed (one row per key), where a few keys may hold most rows.
 

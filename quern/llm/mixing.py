@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed
+from .common import WORD, checkpointed, set_aside
 
 #: Hex digits of the key that make a range: 16**3 ranges a source.
 RANGE_DIGITS = 3
@@ -67,10 +67,13 @@ def mix(
 ) -> DataFrame:
     """docs with size, source_size, target and taken (words that the mix takes of the document, repeats counted).
 
-    weights repeat over the sources in the order of their names. taken is whole epochs times size, plus, in the last
+    Texts are read twice, unless a size is given: a caller who needs no texts stages ids, sizes and a hash first. weights repeat over the sources in the order of their names. taken is whole epochs times size, plus, in the last
     epoch, size for keys below the source's cut, and at the cut what is left of the budget.
     """
-    keyed = _keyed(docs.drop("size", "source_size", "target", "taken"), text, source, doc_id, seed, size)
+    given = "given__size"
+    docs = docs.drop("size", "source_size", "target", "taken") if size is None else docs.withColumn(given, size).drop("size", "source_size", "target", "taken")
+    docs, restored = set_aside(docs, text, source, doc_id, given)
+    keyed = _keyed(docs, text, source, doc_id, seed, None if size is None else F.col(given)).drop(given)
     small = keyed.select("_s", "_key", "_tie", "_size", F.substring("_key", 1, RANGE_DIGITS).alias("_range"))
     ranges = checkpointed(small.groupBy("_s", "_range").agg(F.sum("_size").alias("_sum")))
     budgets = targets(ranges.groupBy("_s").agg(F.sum("_sum").alias("source_size")), weights, share, cap)
@@ -97,7 +100,7 @@ def mix(
     place = F.struct("_key", "_size", "_tie")
     last = F.when(F.col("_cut").isNull(), F.lit(0)).when(place < F.col("_cut"), F.col("_size")).when(place == F.col("_cut"), F.col("_part")).otherwise(F.lit(0))
     mixed = keyed.join(plan, "_s").withColumn("taken", (F.col("_epochs") * F.col("_size") + last).cast("long")).withColumn("size", F.col("_size"))
-    return mixed.drop("_s", "_key", "_tie", "_size", "_epochs", "_cut", "_part")
+    return restored(mixed.drop("_s", "_key", "_tie", "_size", "_epochs", "_cut", "_part"))
 
 
 def first_words(text: Column, n: Column) -> Column:

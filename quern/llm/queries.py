@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
-from .common import table
+from .common import checkpointed, table
 from .embedding_dedup import near_vectors
-from .mixing import mix
+from .mixing import mix, words_in
 from .packing import pack
 from .quality import fit_quality, score_quality
 from .sharding import shard_documents
@@ -68,7 +68,8 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words_in(F.col("text")).alias("words"), F.xxhash64("text").alias("text"))
+    return mix(checkpointed(docs), size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP8_SQL = r"""

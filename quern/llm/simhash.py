@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import checkpointed, join_hot
+from .common import checkpointed, join_hot, set_aside
 from .components import connected_components
 
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # (lowest bit, bits)
@@ -237,8 +237,9 @@ def hex_of(fp):
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, most: int = 4) -> DataFrame:
     """The documents with one of each group of near-duplicates left: that of the smallest id (ties: of a text hash).
 
-    Texts are not shuffled: the rows that go, at most LOSERS of them, are broadcast; more are joined by a shuffle.
+    Extra columns of any names pass through. Texts are not shuffled: the rows that go, at most LOSERS of them, are broadcast; more are joined by a shuffle.
     """
+    docs, restored = set_aside(docs, doc_id, text)
     tie = F.xxhash64(text)
     marked = checkpointed(docs.select(F.col(doc_id).alias("_id"), tie.alias("_tie"), fingerprint_of(F.col(text), shingle).alias("fp")))
     rows = components_of(marked, "_id", most)
@@ -253,10 +254,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     left = docs.withColumn("_t", tie)
     left = left.join(F.broadcast(gone) if gone.count() <= LOSERS else gone, same(gone), "left_anti")
     if again.isEmpty():
-        return left.drop("_t")
+        return restored(left.drop("_t"))
     held = F.broadcast(again) if again.count() <= LOSERS else again
     once = left.join(held, same(again), "left_semi").dropDuplicates([doc_id, "_t"])
-    return left.join(held, same(again), "left_anti").unionByName(once).drop("_t")
+    return restored(left.join(held, same(again), "left_anti").unionByName(once).drop("_t"))
 
 
 #: Rows of an id and a hash: 8 MB at most.
