@@ -1,6 +1,11 @@
 """Corpus pipeline: quality, toxicity, near-duplicates, mixing, packing.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept. The
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on all that the one before kept.
+
+Defined results, of every stage: an empty table gives no rows; extra columns of any names pass through all but the last
+stage, whatever the operators call theirs; repeated rows and null ids are rows. Quality and toxicity judge a null or empty
+text as an empty line and leave it in or out by that score; near-duplicates link such texts with one another (fingerprint
+zero) and keep one; the mix never takes them, as they have no words; packing would give them their end token alone. The
 classifiers learn from the tables in sf_dir, on rows that are not held out. Near-duplicates are those of operator 7:
 fingerprints of 4-word shingles at 4 bits or fewer. The mix takes a document as often as its source's epochs say and
 cuts the text in which a source's budget ends, so packing may see an id several times.
@@ -13,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import checkpoint_folder, table
+from quern.llm.common import checkpoint_folder, set_aside, table
 from quern.llm.mixing import mix, mixed_rows
 from quern.llm.packing import pack
 from quern.llm.quality import fit_quality, score_quality
@@ -24,13 +29,15 @@ from quern.llm.toxicity import fit_toxicity, score_toxicity
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of quality 0.7 or more."""
     field = fit_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_quality(docs, field, to="_score").filter("_score >= 0.7").select(*docs.columns)
+    plain, restored = set_aside(docs, "text")
+    return restored(score_quality(plain, field).filter("score >= 0.7").drop("score"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of toxicity under 0.3."""
     machine = fit_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, machine, to="_score").filter("_score < 0.3").select(*docs.columns)
+    plain, restored = set_aside(docs, "text")
+    return restored(score_toxicity(plain, machine).filter("score < 0.3").drop("score"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +47,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sources' documents at their target weights, repeated or cut at the budgets."""
-    mixed = mixed_rows(mix(docs)).withColumn("n_chars", F.length("text").cast("long"))
-    return mixed.select(*docs.columns)
+    plain, restored = set_aside(docs, "doc_id", "text", "source", "n_chars")
+    mixed = mixed_rows(mix(plain)).withColumn("n_chars", F.length("text").cast("long"))
+    return restored(mixed.select(*plain.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
