@@ -19,7 +19,7 @@ ids are null; repeated rows come out as often as they go in; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -39,23 +39,35 @@ DEFER, BLOCK = 8_192, 4_096
 _CHUNK = 65_536
 
 
-def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    """The unsigned fingerprint of a whole text, in bounded pieces of its hashes."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The unsigned hashes of a whole text's shingles, repeats included, in bounded pieces; none for a wordless text."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
     if not words:
-        return 0
+        return
     shingle = min(shingle, len(words))
     joined = b" ".join(words)
     ends = list(accumulate(map(len, words), lambda at, n: at + 1 + n))
     starts = [0, *(e + 1 for e in ends)]
-    hashed, counts, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(words) - shingle + 1
+    hashed, n = xxhash.xxh64_intdigest, len(words) - shingle + 1
     for lo in range(0, n, _CHUNK):
         spans = zip(starts[lo : min(lo + _CHUNK, n)], ends[lo + shingle - 1 :], strict=False)
-        h = np.array([hashed(joined[s:e], seed) for s, e in spans], "<u8")
+        yield np.array([hashed(joined[s:e], seed) for s, e in spans], "<u8")
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The fingerprint of hashes: their majority, bit by bit; zero for none."""
+    counts, n = np.zeros(64, np.int64), 0
+    for h in pieces:
+        n += len(h)
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
+    """The unsigned fingerprint of a whole text."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprint_of(text: Column, shingle: int) -> Column:
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -243,21 +255,29 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     tie = F.xxhash64(text)
     marked = checkpointed(docs.select(F.col(doc_id).alias("_id"), tie.alias("_tie"), fingerprint_of(F.col(text), shingle).alias("fp")))
     rows = components_of(marked, "_id", most)
-    rows = checkpointed(rows.groupBy("_id", "_tie", "fp", "component_id").agg(F.count(F.lit(1)).alias("n")))
-    order = F.struct(F.col("_id").isNull().alias("z"), "_id", "_tie", "fp")
     group = F.struct(F.col("component_id").isNull().alias("z"), F.coalesce("component_id", F.col("fp")).alias("c"))
-    best = rows.groupBy(group.alias("_g")).agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_n"))
-    judged = checkpointed(join_hot(rows.withColumn("_g", group), best, "_g", "_n").withColumn("_stays", order == F.col("_best")))
+    rows = checkpointed(rows.groupBy("_id", "_tie", group.alias("_g")).agg(F.count(F.lit(1)).alias("n")))
+    return restored(best_left(docs, rows, doc_id, text))
+
+
+def best_left(docs: DataFrame, rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """docs with one row of each group left: that of the smallest id (ties: of a text hash).
+
+    rows: (_id, _tie, _g, n), one for each id and text hash, with its group and its number of rows in docs.
+    """
+    order = F.struct(F.col("_id").isNull().alias("z"), "_id", "_tie")
+    best = rows.groupBy("_g").agg(F.min(order).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    judged = checkpointed(join_hot(rows, best, "_g", "_n").withColumn("_stays", order == F.col("_best")))
     gone = judged.filter(~F.col("_stays")).select("_id", "_tie")
     again = judged.filter(F.col("_stays") & (F.col("n") > 1)).select("_id", "_tie")
     same = lambda other: (F.col(doc_id).eqNullSafe(other["_id"])) & (F.col("_t") == other["_tie"])
-    left = docs.withColumn("_t", tie)
+    left = docs.withColumn("_t", F.xxhash64(text))
     left = left.join(F.broadcast(gone) if gone.count() <= LOSERS else gone, same(gone), "left_anti")
     if again.isEmpty():
-        return restored(left.drop("_t"))
+        return left.drop("_t")
     held = F.broadcast(again) if again.count() <= LOSERS else again
     once = left.join(held, same(again), "left_semi").dropDuplicates([doc_id, "_t"])
-    return restored(left.join(held, same(again), "left_anti").unionByName(once).drop("_t"))
+    return left.join(held, same(again), "left_anti").unionByName(once).drop("_t")
 
 
 #: Rows of an id and a hash: 8 MB at most.
