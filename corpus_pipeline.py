@@ -4,10 +4,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; each works on al
 
 Defined results, of every stage: an empty table gives no rows; extra columns of any names pass through all but the last
 stage, whatever the operators call theirs; repeated rows and null ids are rows. Quality and toxicity judge a null or empty
-text as an empty line and leave it in or out by that score; near-duplicates link such texts with one another (fingerprint
-zero) and keep one; the mix never takes them, as they have no words; packing would give them their end token alone. The
-classifiers learn from the tables in sf_dir, on rows that are not held out. Near-duplicates are those of operator 7:
-fingerprints of 4-word shingles at 4 bits or fewer. The mix takes a document as often as its source's epochs say and
+text as an empty line and leave it in or out by that score; near-duplicates link such texts with one another (no
+shingles) and keep one; the mix never takes them, as they have no words; packing would give them their end token alone. The
+classifiers learn from the tables in sf_dir, on rows that are not held out. Near-duplicates are texts whose sets of 5-word
+shingles have a Jaccard similarity of 0.8 or more, and what such links join; operator 7's fingerprint groups propose the
+closest of them, min-wise samples the others, and whole sets are compared. The mix takes a document as often as its source's epochs say and
 cuts the text in which a source's budget ends, so packing may see an id several times.
 """
 
@@ -22,7 +23,7 @@ from quern.llm.common import checkpoint_folder, set_aside, table
 from quern.llm.mixing import mix, mixed_rows
 from quern.llm.packing import pack
 from quern.llm.quality import fit_quality, score_quality
-from quern.llm.simhash import keep_one
+from quern.llm.resemblance import keep_one_resembling
 from quern.llm.toxicity import fit_toxicity, score_toxicity
 
 
@@ -41,8 +42,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links between fingerprints join."""
-    return keep_one(docs).select(*docs.columns)
+    """One document of each group that links of similarity 0.8 or more join."""
+    return keep_one_resembling(docs, shingle=5, similarity=0.8).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
