@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
+from .clustering import clusters_of
+from .collocations import collocations
 from .common import checkpointed, table
 from .embedding_dedup import near_vectors
 from .mixing import mix, words_in
@@ -134,6 +136,76 @@ SELECT page_id, host, path, rule,
 FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', '') AS bare FROM best)
 """
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("lang", "text"), least=30, longest=4, top=2_000)
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+f AS MATERIALIZED (
+  SELECT lang, size, phrase, count(*) AS a
+  FROM (SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+        FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM w, (VALUES (1), (2), (3), (4)) AS s(size) WHERE len(w) >= size))
+  GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, size, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND a >= 30),
+u AS MATERIALIZED (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS lp, array_to_string(w[k + 1 : size], ' ') AS rp
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM c)),
+k AS (
+  SELECT u.lang, u.phrase, u.a, u.k, l.a AS l, r.a AS r, (u.a::HUGEINT * 2000000 // (l.a::HUGEINT + r.a))::BIGINT AS score
+  FROM u JOIN f l ON l.lang = u.lang AND l.phrase = u.lp JOIN f r ON r.lang = u.lang AND r.phrase = u.rp),
+b AS (SELECT lang, phrase, a, unnest(arg_min({'l': l, 'r': r, 'score': score}, score * 10 + k)) FROM k GROUP BY lang, phrase, a),
+i AS (
+  SELECT lang, array_to_string(w[j : j + m - 1], ' ') AS phrase, max(a) AS longer
+  FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS j FROM c, (VALUES (2), (3)) AS t(m) WHERE m < size)
+  GROUP BY ALL),
+z AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+  FROM b LEFT JOIN i USING (lang, phrase) WHERE longer IS NULL OR 100 * longer::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters_of(table(spark, sf_dir, "embeddings"), components=64, scale=64, clusters=16, rounds=3, seed=1)
+
+
+def _clustering_sql(components: int, scale: int, clusters: int, rounds: int, seed: int) -> str:
+    """Lloyd's rounds one after another. v: vectors; c0, c1, ...: centroids; g0, g1, ...: each vector's cluster."""
+    parts = [
+        f"""v AS (
+  SELECT row_number() OVER () AS i, vec_id, embedding AS raw, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = {components} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {components})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, raw) - 1 AS k, v AS c FROM v ORDER BY k LIMIT {clusters})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(
+            f"""g{n} AS (
+  SELECT i, arg_min(k, d * {clusters} + k) AS k, min(d) AS d
+  FROM (SELECT i, k, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM v, c{n}) GROUP BY i)"""
+        )
+        if n < rounds:
+            parts.append(
+                f"""m{n} AS (
+  SELECT k, j, sum(x)::BIGINT AS s, count(*) AS n
+  FROM (SELECT k, unnest(v) AS x, unnest(range(1, {components + 1})) AS j FROM v JOIN g{n} USING (i)) GROUP BY k, j),
+a{n} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{n} GROUP BY k),
+c{n + 1} AS (SELECT k, coalesce(a{n}.c, c{n}.c) AS c FROM c{n} LEFT JOIN a{n} USING (k))"""
+            )
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM v JOIN g{rounds} USING (i) JOIN c{rounds} USING (k)"""
+
+
+OP12_SQL = _clustering_sql(64, 64, 16, 3, 1)
+
+
 #: All pairs of a label, exactly.
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -159,5 +231,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_url_filters": op10_url_filters,
+    "op11_collocations": op11_collocations,
+    "op12_clustering": op12_clustering,
 }
-ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_collocations": OP11_SQL, "op12_clustering": OP12_SQL}
