@@ -168,11 +168,11 @@ def _mined(fragments: np.ndarray, n: np.ndarray, longest: int, bits: int) -> Ite
 
 def _rare_words(vocabulary: DataFrame, table: list) -> np.ndarray | None:
     """A bit map of the hashes of the words that the table lacks; None if it has all."""
-    in_table = F.octet_length("word") <= LONGEST_WORD
+    in_table = F.lit(False)
     if table:
         last = table[-1]
         after = (F.col("n") < last["n"]) | (F.col("n") == last["n"]) & (F.struct("lang", "word") > F.struct(F.lit(last["lang"]), F.lit(last["word"])))
-        in_table = in_table & ~after
+        in_table = (F.octet_length("word") <= LONGEST_WORD) & ~after
     place = F.xxhash64("word").bitwiseAND((1 << MAP_BITS) - 1)
     bits = vocabulary.filter(~in_table).groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND((1 << 15) - 1)).alias("bits"))
     parts = bits.collect()  # 2 ** (MAP_BITS - 15) rows of 4 kB at most

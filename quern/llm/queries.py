@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ann import search
@@ -16,6 +16,7 @@ from .embedding_dedup import near_vectors
 from .mixing import mix, words_in
 from .packing import pack
 from .quality import fit_quality, score_quality
+from .secrets import fit_scanner, listed, secret_spans
 from .sharding import shard_documents
 from .simhash import hex_of, near_duplicates
 from .token_counts import section_tokens
@@ -206,6 +207,17 @@ FROM v JOIN g{rounds} USING (i) JOIN c{rounds} USING (k)"""
 OP12_SQL = _clustering_sql(64, 64, 16, 3, 1)
 
 
+def op13_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_spans(docs, fit_scanner(docs)).select("doc_id", "findings")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+
+    base = F.filter("findings", lambda f: f["kind"] != "model")
+    return found.select("doc_id", *[number(k).alias(f"n_{k}") for k in ("assign", "access", "hex", "model")], F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"))
+
+
 #: All pairs of a label, exactly.
 OP5_SQL = """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
@@ -233,5 +245,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": op10_url_filters,
     "op11_collocations": op11_collocations,
     "op12_clustering": op12_clustering,
+    "op13_secrets": op13_secrets,
 }
 ORACLES: dict[str, str] = {"op5_embedding_dedup": OP5_SQL, "op8_mixing": OP8_SQL, "op10_url_filters": OP10_SQL, "op11_collocations": OP11_SQL, "op12_clustering": OP12_SQL}
