@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
+from importlib import resources
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +32,7 @@ URL_RULES = (
     ("block", "com/de/"),
 )
 #: Hosts (with their subdomains) that are blocked where no rule fits: a file, so that a deployment can put in its own.
-BLOCK_LIST = Path(__file__).with_name("blocked_hosts.txt")
+BLOCK_LIST = resources.files(__package__).joinpath("blocked_hosts.txt")
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .packing import END_OF_TEXT, encoding, public_bpe
+
 RULES = ("first", "last", "most", "share")
 Spans = tuple[np.ndarray, np.ndarray]  # starts, ends
 
@@ -78,19 +80,22 @@ def allocate(tokens: Spans, sections: Spans, rule: str) -> tuple[np.ndarray, flo
 
 
 @lru_cache(maxsize=2)
-def _public(ranks_path: str, pattern: str):
-    from .packing import encoding
-
+def _token_lengths(ranks_path: str, pattern: str) -> np.ndarray:
     own = encoding(ranks_path, pattern)
-    lengths = np.array([len(own.decode_single_token_bytes(i)) for i in range(own.n_vocab)], np.int64)
-    return lambda text: lengths[np.array(own.encode_ordinary(text), np.int64)]
+    special = END_OF_TEXT[1]
+    out = np.array([len(own.decode_single_token_bytes(i)) for i in range(own.n_vocab)], np.int64)
+    return np.append(out, np.zeros(special + 1 - len(out), np.int64)) if special >= len(out) else out
 
 
 def public_lengths() -> Callable[[str], np.ndarray]:
-    """The byte lengths of a text's tokens in byte_bpe_50k."""
+    """The byte lengths of a text's tokens in byte_bpe_50k: those of the encoder that packing uses."""
     import public_tokenizers
 
-    return _public(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    string, special = END_OF_TEXT
+    lengths = _token_lengths(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).copy()
+    lengths[special] = len(string)
+    encode = public_bpe()
+    return lambda text: lengths[np.array(encode([text])[0], np.int64)]
 
 
 def section_tokens(

@@ -22,8 +22,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,7 @@ from .training import labelled_sample, logistic, sigmoid
 
 #: Rows of each class, and characters of a text, in the sample to learn from.
 PER_CLASS, LONGEST = 1_000, 12_000
+#: CLEAN_WORDS: different words of clean documents, by a hash, that the fit learns from; documents are bounded above.
 DECAY, SPAN, WINDOW, FULL, LANDMARKS, CLEAN_WORDS = 0.7, 8, 38, 9, 96, 20_000
 SYMBOLS = 128
 #: Least contrast, in standard errors, of a word or stem that marks a sentence as toxic.
@@ -41,6 +43,8 @@ SURE = 4.0
 #: How many times as common in toxic documents a word, and a stem, must be: stems begin clean words too.
 WORD_RATIO, STEM_RATIO = 12, 80
 _CACHE = 150_000
+#: Windows of words whose sequences are held at a time.
+HELD_WINDOWS = 4_096
 
 #: Letters and separators share no character, so that a run of either is read in one way only.
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][\s.\-_*]++){3,}[^\W_](?!\w)")
@@ -80,17 +84,23 @@ def _triples(length: int) -> tuple[np.ndarray, np.ndarray, float]:
     return places, weights, float(np.sqrt((within**2).sum())) or 1.0
 
 
+def windows_of(word: str) -> Iterator[str]:
+    """A word, or overlapping parts of a long one."""
+    for lo in range(0, max(1, len(word)), WINDOW - SPAN):
+        yield word[lo : lo + WINDOW]
+        if lo + WINDOW >= len(word):
+            break
+
+
 def sequences(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """By length of word: (numbers of the words, codes of their sequences, weights with norm 1)."""
     by_length: dict[int, tuple[list[int], list[list[int]]]] = {}
     for i, w in enumerate(words):
-        for lo in range(0, max(1, len(w)), WINDOW - SPAN):
-            codes = [0, *map(_code, w[lo : lo + WINDOW]), SYMBOLS - 1]
+        for part in windows_of(w):
+            codes = [0, *map(_code, part), SYMBOLS - 1]
             number, rows = by_length.setdefault(len(codes), ([], []))
             number.append(i)
             rows.append(codes)
-            if lo + WINDOW >= len(w):
-                break
     out = []
     for length, (number, rows) in by_length.items():
         places, weights, norm = _triples(length)
@@ -170,18 +180,22 @@ class SequenceMachine:
         self.intercept, self.curve = state["intercept"], state["curve"]
 
     def margins(self, words: list[str]) -> np.ndarray:
+        """The largest margin of each word's windows; so many windows are held at a time, whatever a word's length."""
         out = np.full(len(words), -np.inf)
-        for lo in range(0, len(words), 8_192):
-            for number, codes, weights in sequences(words[lo : lo + 8_192]):
-                np.maximum.at(out, number + lo, self.weights[codes] @ weights + self.intercept)
+        windows = ((i, part) for i, w in enumerate(words) for part in windows_of(w))
+        while run := list(islice(windows, HELD_WINDOWS)):
+            owner = np.array([i for i, _ in run])
+            for number, codes, weights in sequences([part for _, part in run]):
+                np.maximum.at(out, owner[number], self.weights[codes] @ weights + self.intercept)
         return out
 
     def _look_up(self, words: set[str]) -> dict[str, float]:
         if len(self._known) > _CACHE:
             self._known = {}
         new = sorted(words - self._known.keys())
-        self._known.update(zip(new, self.margins(new).tolist(), strict=True))
-        return self._known
+        found = dict(zip(new, self.margins(new).tolist(), strict=True))
+        self._known.update((w, m) for w, m in found.items() if len(w) <= WINDOW)
+        return {**self._known, **found} if any(len(w) > WINDOW for w in new) else self._known
 
     def features(self, texts: Iterable[str | None]) -> np.ndarray:
         """Per document: the largest word margin, the second and third where positive, toxic sentences and words (logs).

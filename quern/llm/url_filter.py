@@ -2,7 +2,7 @@
 
 An entry is a host (with all its subdomains) and the start of a path, with a verdict. The file holds, after a header,
 the sorted xxhash64 keys of the entries' full strings, their places in a blob, their verdicts and the blob itself. A
-URL's candidates are its host's suffixes, at label borders, times the path lengths that entries have. A host of the
+URL's candidates are its host's suffixes, at label borders and no longer than the longest stored host, times the path lengths that entries have. A host of the
 block list is stored without a path, and found by the suffixes of the host less user and port, so that it holds for
 every URL of the host, with a path or without; a rule needs a path to fit. A batch of candidates is hashed, looked up by
 one vectorised binary search, and each hit is confirmed against the stored string, so that a digest collision decides
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from importlib.resources.abc import Traversable
 from pathlib import Path
 
 import numpy as np
@@ -31,18 +32,18 @@ from pyspark.sql import functions as F
 from quern.operators.staging import published
 
 VERDICTS = ("allow", "block")
-_MAGIC = b"QUERNDX1"
+_MAGIC = b"QUERNDX2"
 _OPEN: dict[str, DigestArray] = {}
 
 
 class DigestArray:
-    """The file, opened: keys, places, verdicts, whether an entry is a rule, blob."""
+    """The file, opened: keys, places, verdicts, whether an entry is a rule, blob, and the length of the longest host."""
 
     def __init__(self, path: str):
-        head = np.fromfile(path, dtype="<u8", count=4)
+        head = np.fromfile(path, dtype="<u8", count=5)
         assert head[0].tobytes() == _MAGIC, "not a digest array"
-        n, lengths, blob = (int(x) for x in head[1:])
-        at = 32
+        n, lengths, blob, self.longest = (int(x) for x in head[1:])
+        at = 40
         self.lengths = np.fromfile(path, dtype="<u4", count=lengths, offset=at).tolist()
         at += 4 * lengths
         self.keys = np.memmap(path, "<u8", "r", at, (n,)) if n else np.zeros(0, "<u8")
@@ -77,13 +78,15 @@ def build(entries: Iterable[tuple[str, str, bool]]) -> bytes:
     lengths = sorted({len(text.decode()) - text.decode().index("/") for text in first if b"/" in text})
     blob = b"".join(text for _, text, _ in order)
     places = np.cumsum([0, *(len(text) for _, text, _ in order)]).astype("<u8")
-    head = _MAGIC + np.array([len(order), len(lengths), len(blob)], "<u8").tobytes() + np.array(lengths, "<u4").tobytes()
+    longest = max((len(text.decode().partition("/")[0]) for text in first), default=0)
+    head = _MAGIC + np.array([len(order), len(lengths), len(blob), longest], "<u8").tobytes() + np.array(lengths, "<u4").tobytes()
     return head + np.array([k for k, _, _ in order], "<u8").tobytes() + places.tobytes() + np.array([m for _, _, m in order], "u1").tobytes() + blob
 
 
-def hosts_in(path: str | Path) -> list[str]:
+def hosts_in(path: str | Path | Traversable) -> list[str]:
     """The hosts of a block list: a text file with one a line; blank lines and what follows ``#`` don't count."""
-    lines = (line.partition("#")[0].strip().lower() for line in Path(path).read_text(encoding="utf-8").splitlines())
+    file = Path(path) if isinstance(path, str) else path
+    lines = (line.partition("#")[0].strip().lower() for line in file.read_text(encoding="utf-8").splitlines())
     return [host for host in lines if host]
 
 
@@ -106,8 +109,14 @@ def bare(host: str) -> str:
     return _PORT.sub("", _USER.sub("", host))
 
 
-def _suffixes(host: str) -> list[str]:
-    return [host, *(host[i + 1 :] for i, c in enumerate(host) if c == ".")]
+def _suffixes(host: str, longest: int) -> Iterator[str]:
+    """The host and its suffixes at label borders, of the length that a stored host may have: others fit nothing."""
+    if len(host) <= longest:
+        yield host
+    at = host.find(".", max(0, len(host) - longest - 1))
+    while at >= 0:
+        yield host[at + 1 :]
+        at = host.find(".", at + 1)
 
 
 def _judged(index: DigestArray, hosts: list[str], paths: list[str], default: str) -> tuple[list, list]:
@@ -116,8 +125,8 @@ def _judged(index: DigestArray, hosts: list[str], paths: list[str], default: str
     candidates: list[bytes] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
         if host:
-            listed = ((suffix, 0) for suffix in _suffixes(bare(host)))
-            ruled = ((suffix, n) for suffix in _suffixes(host) for n in index.lengths if n <= len(path))
+            listed = ((suffix, 0) for suffix in _suffixes(bare(host), index.longest))
+            ruled = ((suffix, n) for suffix in _suffixes(host, index.longest) for n in index.lengths if n <= len(path))
             for suffix, n in (*listed, *ruled):
                 owner.append(i)
                 rank.append((len(suffix) + n, len(suffix)))
