@@ -61,7 +61,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", quality),
     ("toxicity", toxicity),
-    ("simhash near-dedup", near_duplicates),
+    ("simhash and min-wise near-dedup", near_duplicates),
     ("mixing to target weights", mixing),
     ("best-fit packing", packing),
 ]
