@@ -1,20 +1,28 @@
 """Benchmark contamination: n-gram joins instead of a search index.
 
-Documents' grams meet those of the benchmark as 64-bit hashes, and are compared as text where hashes are equal. Only
-positions travel; texts are read again for the few documents that are hit, where they lie: the keys of these documents
-are broadcast as long as their count allows. So are the benchmark's grams; millions of them are joined by a shuffle of
-hashes and positions.
+Documents' grams meet those of the benchmark as 64-bit hashes, and are compared as text where hashes are equal. Every
+task holds a bit map of the benchmark's hashes and lets only suspects through, so that no row per token is made, however many
+grams there are; suspects are joined to the grams, which are broadcast while they are few and bucketed on disk
+otherwise (gram_index). Texts are read again for the few documents that are hit, where they lie: the keys of these
+documents are broadcast, or, beyond a count, a filter of them goes before the join.
+
+A document is its key and the hash of its text (`digest`): rows of one key with different texts are different
+documents, null keys are keys, and repeated rows share what is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tokens import let, ngrams, token_offsets, tokens
-from quern.operators.staging import light, staged
+from quern.operators.gram_index import StoredGrams, passing_grams
+from quern.operators.hash_filter import hash_filter, may_hold, passing
+from quern.operators.staging import BROADCAST_ROWS, light, null_safe_join, staged
 
 
 def gram_rows(docs: DataFrame, n: int, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
@@ -53,33 +61,58 @@ def _run_hashes(n: int) -> Callable[[Column], Column]:
     return lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(n)))))
 
 
-def hits(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
-    """(key, pos, n, gram) where a document holds a benchmark gram, for each n that the benchmark's grams have.
+def digest(text: str) -> Column:
+    """What tells documents of one key apart."""
+    return F.xxhash64(text).alias("digest")
 
-    Documents give a hash for each run of n tokens, never the run itself. What meets a gram's hash is written down once,
-    and the tokens of those few documents are then compared with the grams.
+
+def hits(docs: DataFrame, grams: DataFrame | StoredGrams, key: str = "doc_id", text: str = "text", mode: str = "simple") -> DataFrame:
+    """(key, digest, pos, n, gram) where a document holds a benchmark gram, for each n that the benchmark's grams have.
+
+    Documents give a hash for each run of n tokens, never the run itself, and of these only what passes the grams' filter.
+    What meets a gram's hash is written down once, and the tokens of those few documents are then compared with the grams.
     """
-    queries = staged(grams.select("n", "gram").distinct().withColumn("_h", F.xxhash64(F.split("gram", " "))))
-    sizes = sorted(r["n"] for r in queries.select("n").distinct().collect())  # the few lengths in use
+    index = grams if isinstance(grams, StoredGrams) else passing_grams(grams)
     own = tokens(F.col(text), mode)
-    met = None
-    for n in sizes:
-        part = docs.select(key, F.posexplode(let(own, _run_hashes(n))).alias("pos", "_h")).join(light(queries.filter(F.col("n") == n)), "_h").select(key, "pos", "n", "gram")
-        met = part if met is None else met.unionByName(part)
-    if met is None:
-        return docs.limit(0).select(key, F.lit(0).alias("pos"), F.lit(1).alias("n"), F.lit("").alias("gram"))
-    met = staged(met)
-    words = touched(docs, met, key).select(key, own.alias("_w"))
+    met = staged(suspects(docs.select(key, digest(text), *[let(own, _run_hashes(n)).alias(f"h{n}") for n in index.sizes]), index, key).drop("n").join(index.rows, "hash").select(key, "digest", "pos", "n", "gram"))
+    words = touched(docs, met, key, text).select(key, digest(text), own.alias("_w"))
     same = F.array_join(F.slice("_w", F.col("pos") + 1, F.col("n")), " ") == F.col("gram")
-    return staged(words.join(light(met), key).filter(same).select(key, "pos", "n", "gram").distinct())
-
-
-def touched(docs: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The documents with rows in found, without a shuffle of texts unless they are very many."""
-    return docs.join(light(found.select(key).distinct()), key, "left_semi")
-
-
-def contaminated_documents(docs: DataFrame, grams: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    return staged(null_safe_join(words, light(met), [key, "digest"]).filter(same).select(key, "digest", "pos", "n", "gram").distinct())
+
+
+def suspects(hashed: DataFrame, index: StoredGrams, key: str) -> DataFrame:
+    """(key, digest, pos, n, hash) of the runs that pass the filter. hashed: key, digest and an array of hashes for each n."""
+    shared, sizes = hashed.sparkSession.sparkContext.broadcast(index.filter), index.sizes
+    names = [key, "digest", "pos", "n", "hash"]
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for column, n in enumerate(sizes, 2):
+                runs = batch.column(column)
+                first = runs.offsets.to_numpy()
+                found = runs.flatten().to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(shared.value.probe(found))
+                row = np.searchsorted(first - first[0], at, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array((at - (first - first[0])[row]).astype(np.int32)), pa.array(np.full(len(at), n, np.int32)), pa.array(found[at])], names=names
+                )
+
+    schema = f"`{key}` {hashed.schema[key].dataType.simpleString()}, digest long, pos int, n int, hash long"
+    return hashed.mapInArrow(probe, schema)
+
+
+def touched(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with rows in found, without a shuffle of other texts."""
+    keys = staged(found.select(key, "digest").distinct())
+    n = keys.count()
+    marked = docs.withColumn("_digest", F.xxhash64(text))
+    if n > BROADCAST_ROWS:
+        named = keys.withColumn("_h", F.xxhash64(key, "digest"))
+        marked = passing(marked, F.xxhash64(key, "_digest"), hash_filter(named, "_h", n))
+    return null_safe_join(marked, light(keys.withColumnRenamed("digest", "_digest"), n), [key, "_digest"], "left_semi").drop("_digest")
+
+
+def contaminated_documents(docs: DataFrame, grams: DataFrame | StoredGrams, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Keys of the documents that hold any benchmark gram."""
     return hits(docs, grams, key, text).select(key).distinct()
 
@@ -90,34 +123,36 @@ def contaminated_sources(grams: DataFrame, found: DataFrame, key: str = "item_id
     return met.groupBy(key).agg(F.max("num_ngrams").alias("num_source_ngrams"), F.array_sort(F.collect_set("gram")).alias("contaminated_ngrams"))
 
 
-def merged(spans: DataFrame, key: str = "doc_id") -> DataFrame:
+def merged(spans: DataFrame, *key: str) -> DataFrame:
     """Spans (key, start, end) merged where one starts at most one character after all before it have ended."""
-    order = Window.partitionBy(key).orderBy("start", "end")
+    key = key or ("doc_id",)
+    order = Window.partitionBy(*key).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("start") > reach + 1), 1).otherwise(0)
     islands = spans.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
+    return islands.groupBy(*key, "_island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_island")
 
 
 def contaminated_spans(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text", mode: str = "simple", greedy: bool = False, delimiter: str | None = None) -> DataFrame:
-    """(key, start, end): the merged character spans of all hits.
+    """(key, digest, start, end): the merged character spans of all hits.
 
     greedy: a span reaches to the neighbouring tokens. delimiter (one character): a span grows to the delimited
     segments that it touches, with the delimiter after the last of them unless no segment follows.
     """
-    hit = staged(touched(docs, found, key).select(key, text))
-    at = token_offsets(hit, key, text, mode)
+    document = F.struct(F.col(key).alias("key"), "digest").alias("_doc")  # structs are equal where nulls within are
+    hit = staged(touched(docs, found, key, text).select(key, digest(text), text).dropDuplicates([key, "digest"]).select(document, text))
+    at = token_offsets(hit, "_doc", text, mode)
     if greedy:
-        order = Window.partitionBy(key).orderBy("pos")
+        order = Window.partitionBy("_doc").orderBy("pos")
         at = at.withColumn("_from", F.coalesce(F.lag("end").over(order), F.col("start"))).withColumn("_to", F.coalesce(F.lead("start").over(order), F.col("end")))
     else:
         at = at.withColumn("_from", F.col("start")).withColumn("_to", F.col("end"))
-    first = found.select(key, "pos", (F.col("pos") + F.col("n") - 1).alias("_last"))
-    spans = first.join(at.select(key, "pos", F.col("_from").alias("start")), [key, "pos"])
-    spans = spans.join(at.select(key, F.col("pos").alias("_last"), F.col("_to").alias("end")), [key, "_last"]).select(key, "start", "end").distinct()
+    first = found.select(document, "pos", (F.col("pos") + F.col("n") - 1).alias("_last"))
+    spans = first.join(at.select("_doc", "pos", F.col("_from").alias("start")), ["_doc", "pos"])
+    spans = spans.join(at.select("_doc", F.col("pos").alias("_last"), F.col("_to").alias("end")), ["_doc", "_last"]).select("_doc", "start", "end").distinct()
     if delimiter:
-        spans = _rounded(hit, merged(spans, key), key, text, delimiter)
-    return merged(spans, key)
+        spans = _rounded(hit, merged(spans, "_doc"), "_doc", text, delimiter)
+    return merged(spans, "_doc").select(F.col("_doc.key").alias(key), "_doc.digest", "start", "end")
 
 
 def _rounded(docs: DataFrame, spans: DataFrame, key: str, text: str, delimiter: str) -> DataFrame:
@@ -143,11 +178,18 @@ def decontaminate(docs: DataFrame, spans: DataFrame, key: str = "doc_id", text:
     """docs with contaminated, fraction (of the characters that spans cover), dropped, and text with spans replaced.
 
     A document is dropped if its fraction is the threshold or more, or, with drop_whole, if it has any span. Rows that
-    are dropped stay, marked, so that statistics can count them; an empty text has fraction 0.
+    are dropped stay, marked, so that statistics can count them; an empty text has fraction 0. Spans without a digest hold
+    for all rows of their key.
     """
-    spans = staged(spans)
-    per_doc = spans.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    rows = docs.join(light(per_doc, spans.count()), key, "left")
+    spans = staged(spans.withColumnRenamed("digest", "_digest"))
+    on = [key, *(c for c in ("_digest",) if c in spans.columns)]
+    per_doc = staged(spans.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans")))
+    n, rows = spans.count(), docs.withColumn("_digest", F.xxhash64(text))
+    if n <= BROADCAST_ROWS:
+        rows = null_safe_join(rows, F.broadcast(per_doc), on, "left").drop("_digest")
+    else:  # only rows that may have spans meet them in a shuffle
+        rows = rows.withColumn("_there", may_hold(F.xxhash64(*on), hash_filter(per_doc.withColumn("_h", F.xxhash64(*on)), "_h", per_doc.count()), docs.sparkSession))
+        rows = null_safe_join(rows.filter("_there"), per_doc, on, "left").unionByName(rows.filter("NOT _there"), allowMissingColumns=True).drop("_there", "_digest")
     covered = F.aggregate("_spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     fraction = F.when(F.col("_spans").isNull() | (F.length(text) == 0), F.lit(0.0)).otherwise(covered / F.length(text))
     rows = rows.withColumn("contaminated", F.col("_spans").isNotNull()).withColumn("fraction", fraction)

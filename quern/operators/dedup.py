@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.operators.hash_filter import hash_filter, may_hold
+from quern.operators.staging import BROADCAST_ROWS, light, null_safe_join, staged
+
 
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(content, copies, first): a row for each distinct text, by its digest; counted before the shuffle."""
     return df.groupBy(F.sha2(F.col(text), 256).alias("content")).agg(F.count(F.lit(1)).alias("copies"), F.min(key).alias("first"))
 
 
+#: Names of the two halves of a text's 128-bit digest.
+_HALVES = ("_a", "_b")
+
+
+def digested(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with a 128-bit digest of each text. Null texts are equal to each other."""
+    return df.withColumns({"_a": F.xxhash64(text), "_b": F.xxhash64(F.lit(1), text)})
+
+
 def first_copies(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without rows whose text has a copy with a smaller key. Digests and keys shuffle, texts don't meet."""
-    firsts = exact_groups(df, key, text).select(F.col("first").alias(key))
-    return df.join(firsts, key, "left_semi")
+    """One row for each distinct text: that of the smallest key (null keys last); of repeated rows, one of them.
+
+    Digests and keys shuffle, texts don't: what goes is broadcast, or filtered for before a join where it is very much.
+    """
+    return without_later_copies(digested(df, text), digested(df, text).select(key, *_HALVES), key).drop(*_HALVES)
+
+
+def without_later_copies(df: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """df without the later copies among rows (key and digest), which hold every copied text's rows."""
+    per_key = rows.groupBy(*_HALVES, key).agg(F.count(F.lit(1)).alias("_rows"))
+    firsts = per_key.groupBy(*_HALVES).agg(F.sum("_rows").alias("_copies"), F.min(F.struct(F.col(key).isNull(), F.col(key).alias("k"))).alias("_first")).filter("_copies > 1")
+    copied = staged(per_key.join(firsts.select(*_HALVES, F.col("_first.k").alias("_k")), list(_HALVES)))
+    later = ~F.col(key).eqNullSafe(F.col("_k"))
+    gone = copied.filter(later | (F.col("_rows") > 1)).select(key, *_HALVES)
+    again = copied.filter(~later & (F.col("_rows") > 1)).select(key, *_HALVES)  # repeated rows of a first key
+    on = [key, *_HALVES]
+    kept = without_keys(df, gone, on)
+    return kept.unionByName(null_safe_join(df, light(again), on, "left_semi").dropDuplicates(on)) if again.take(1) else kept
+
+
+def without_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """df without the rows of the keys; rows that are surely none of them don't shuffle."""
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return null_safe_join(df, F.broadcast(keys), on, "left_anti")
+    suspect = df.withColumn("_may", may_hold(F.xxhash64(*on), hash_filter(keys.withColumn("_h", F.xxhash64(*on)), "_h", n), df.sparkSession))
+    return suspect.filter("NOT _may").unionByName(null_safe_join(suspect.filter("_may"), keys, on, "left_anti")).drop("_may")
 
 
 def repeated_lines(df: DataFrame, least: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -25,11 +62,28 @@ def repeated_lines(df: DataFrame, least: int = 2, key: str = "doc_id", text: str
 
 
 def without_lines(df: DataFrame, lines: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with the listed lines cut from its texts."""
-    rows = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("i", "raw")).withColumn("line", F.trim("raw"))
-    kept = rows.join(lines.select("line"), "line", "left_anti")
-    texts = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "raw"))).alias("r")).select(key, F.array_join(F.col("r.raw"), "\n").alias("_new"))
-    return df.join(texts, key, "left").withColumn(text, F.coalesce("_new", F.lit(""))).drop("_new")
+    """df with the listed lines (trimmed of blanks) cut from its texts. A null text stays null; repeated rows are rows.
+
+    Lines are cut where texts lie, by a set that tasks hold; more than BROADCAST_ROWS of them (or long ones) are joined
+    to the different lines of each text, and what they hit comes back to the text's digest.
+    """
+    listed = staged(lines.filter(F.col("line").isNotNull()).select("line").distinct())
+    size = listed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).alias("bytes")).first()
+    own = F.split(text, "\n", -1)
+    if size["n"] <= BROADCAST_ROWS and size["bytes"] <= 64 * BROADCAST_ROWS:
+        shared = df.sparkSession.sparkContext.broadcast(frozenset(r["line"] for r in listed.toLocalIterator()))
+
+        @F.arrow_udf("string")
+        def cut(texts: pa.Array) -> pa.Array:
+            gone = shared.value
+            return pa.array([None if t is None else "\n".join(x for x in t.split("\n") if x.strip(" ") not in gone) for t in texts.to_pylist()], pa.string())
+
+        return df.withColumn(text, cut(F.col(text)))
+    marked = digested(df, text)
+    texts = marked.select(*_HALVES, F.explode(F.array_distinct(F.transform(own, lambda x: F.trim(x)))).alias("line"))
+    hit = staged(texts.join(listed, "line").groupBy(*_HALVES).agg(F.collect_set("line").alias("_gone")))
+    kept = F.array_join(F.filter(own, lambda x: ~F.array_contains("_gone", F.trim(x))), "\n")
+    return marked.join(light(hit), list(_HALVES), "left").withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).drop("_gone", *_HALVES)
 
 
 def duplicate_paragraph_share(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -53,6 +53,13 @@ def light(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on columns of the same names, nulls being equal; right's other names must be new."""
+    named = right.select(*[F.col(c).alias(f"_on{i}") for i, c in enumerate(on)], *[c for c in right.columns if c not in on])
+    same = [F.col(c).eqNullSafe(F.col(f"_on{i}")) for i, c in enumerate(on)]
+    return left.join(named, same, how).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def rank_within(df: DataFrame, group: list[str], range_: Column, order: list[str], to: str) -> DataFrame:
     """Adds to: each row's place (from 0, gapless) in its group, by the order, of which range_ is a coarser form.
 

@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,17 +38,20 @@ def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: s
         schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
 
         def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, ids = pa.array(shared.value[0], pa.string()), shared.value[1]
+            terms, numbers = shared.value
+            ids = dict(zip(terms, numbers.tolist(), strict=True))
             for batch in batches:
                 found = batch.column(1)
-                at = pc.index_in(found.flatten().cast(pa.string()), value_set=terms)
-                there = np.asarray(at.is_valid())
+                words = found.flatten().cast(pa.string()).dictionary_encode()
+                own = np.fromiter((ids.get(w, -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+                at = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
+                there = at >= 0
                 sizes = np.diff(found.offsets.to_numpy())
                 of = np.repeat(np.arange(len(sizes)), sizes)[there]
                 held = np.bincount(of, minlength=len(sizes))
                 edges = np.concatenate([[0], np.cumsum(held + 1)])
                 out = np.full(edges[-1], end, np.int32)
-                out[np.arange(len(of)) + of] = ids[at.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)]
+                out[np.arange(len(of)) + of] = at[there]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out))], names=[key, "ids"])
 
         return rows.select(key, tokens(F.col(text)).alias("t")).mapInArrow(encode, schema)
@@ -78,11 +80,11 @@ def pack_stream(encoded: DataFrame, context: int, tokens_per_chunk: int, key: st
     group is larger than an example: documents are cut at example borders before tokens come together.
     """
     rows = encoded.select(F.col(key).alias("_key"), "ids", F.size("ids").alias("_n"), (F.col(shard) if shard else F.lit(0)).alias("shard"), (source if source is not None else F.lit(None).cast("string")).alias("_source"))
-    rows = staged(rows)
+    rows = staged(rows.withColumns({"_row": F.monotonically_increasing_id(), "_tie": F.xxhash64("ids")}))  # keys may repeat
     totals = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("_docs"), F.sum("_n").alias("_tokens"))
     plan = totals.withColumn("_chunks", F.least(F.greatest(F.lit(1), F.ceil(F.col("_tokens") / tokens_per_chunk)), F.col("_docs")).cast("int"))
     plan = light(plan)
-    placed = staged(with_ordinal(rows.select("shard", "_key", "_n", "_source"), "shard", "_key", to="_o"))  # by ranges: a shard may hold all rows
+    placed = staged(with_ordinal(rows.select("shard", "_key", "_tie", "_row", "_n", "_source"), "shard", "_key", "_tie", "_row", to="_o"))  # by ranges: a shard may hold all rows
     firsts = placed.groupBy("shard").agg(F.min("_o").alias("_zero"))
     placed = placed.join(light(firsts), "shard").withColumn("_o", F.col("_o") - F.col("_zero")).drop("_zero").join(plan, "shard")
     size, larger = F.floor(F.col("_docs") / F.col("_chunks")), F.col("_docs") % F.col("_chunks")
@@ -95,7 +97,7 @@ def pack_stream(encoded: DataFrame, context: int, tokens_per_chunk: int, key: st
     modes = placed.groupBy("shard", "chunk", "_source").agg(F.count(F.lit(1)).alias("_c"), F.min("_o").alias("_first"))
     modes = modes.groupBy("shard", "chunk").agg(F.max_by("_source", F.struct("_c", -F.col("_first"))).alias("source_id"), F.sum("_c").alias("_in"))
     lengths = placed.groupBy("shard", "chunk").agg(F.sum("_n").alias("_total"))
-    cut = placed.join(rows.select("shard", "_key", "ids"), ["shard", "_key"]).join(lengths, ["shard", "chunk"])
+    cut = placed.join(rows.select("_row", "ids"), "_row").join(lengths, ["shard", "chunk"])
     cut = cut.withColumn("_examples", F.floor((F.col("_total") - 1) / context).cast("int")).filter("_examples > 0")
     # an example needs context + 1 tokens: a document gives to each one that its tokens overlap
     first = F.greatest(F.lit(0), F.floor((F.col("_from") - 1) / context)).cast("int")

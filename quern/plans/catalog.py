@@ -97,7 +97,7 @@ def _spans(t, **how):
 
 @query(f'WITH {SPANS_SQL} SELECT doc_id, "start", "end" FROM m')
 def contaminated_spans(t):
-    return _spans(t)
+    return _spans(t).drop("digest")
 
 
 @query(

@@ -13,7 +13,7 @@ from quern.operators import contamination, curation
 from quern.operators import training_examples as examples
 from quern.operators.staging import shared_folder, staged
 from quern.plans.catalog import LOSS_SQL, PACK_SQL, SPANS_SQL, VOCAB_SQL, WORDS, _encoded, _grams_sql, _packed, _spans, query
-from quern.sources import documents
+from quern.sources import documents, token_files
 from quern.streaming import incremental
 
 
@@ -424,10 +424,12 @@ l AS (SELECT part, sum(n) AS total FROM o GROUP BY part), s AS (SELECT part, fir
 SELECT part, (tk // 128)::INTEGER AS example, sum(id)::BIGINT AS input_sum, md5(string_agg(id, ',' ORDER BY tk)) AS inputs_md5 FROM s WHERE tk < (total - 1) // 128 * 128 GROUP BY part, tk // 128"""
 )
 def memmap_examples(t):
-    packed = documents.write_token_binaries(_encoded(t), _folder("binaries"), docs_per_part=70)
-    made = documents.binary_examples(packed, 128).join(packed.select("first", "part"), "first")
+    folder = _folder("tokens")
+    encoded = _encoded(t)
+    token_files.write_token_files(encoded, folder, docs_per_part=70)
+    made = token_files.examples(encoded.sparkSession, folder, 128)
     total = F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x)
-    return made.select("part", "example", total.alias("input_sum"), F.md5(F.array_join(F.col("inputs").cast("array<string>"), ",").cast("binary")).alias("inputs_md5"))
+    return made.select(F.col("part").cast("long").alias("part"), F.col("example").cast("int").alias("example"), total.alias("input_sum"), F.md5(F.array_join(F.col("inputs").cast("array<string>"), ",").cast("binary")).alias("inputs_md5"))
 
 
 @query(
