@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.predicates import Field, compiled, struct_field
-from quern.operators.staging import rank_within, with_ordinal
+from quern.operators.staging import light, null_safe_join, rank_within, with_ordinal
 
 #: Hex digits of a hash that make a range of a large group: 4096 ranges.
 RANGE_DIGITS = 3
@@ -120,10 +120,11 @@ def hash_order(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
-def assign_splits(df: DataFrame, sizes: Mapping[str, int | None], key: str = "doc_id", seed: int = 0, per: str | None = None) -> DataFrame:
+def assign_splits(df: DataFrame, sizes: Mapping[str, int | None], key: str = "doc_id", seed: int = 0, per: str | None = None, shrink: bool = False) -> DataFrame:
     """df with split: in the order of a hash, so many rows for each sized split, the rest for the open one or none.
 
-    per: a file column; sizes then hold for each file.
+    per: a file column; sizes then hold for each file. shrink: where a file (or all) has fewer rows than the sized splits
+    ask for, each gives up an even share of what is missing, the first one also what doesn't divide.
     """
     ordered = df.withColumn("_hash", hash_order(key, seed))
     if per:
@@ -131,14 +132,19 @@ def assign_splits(df: DataFrame, sizes: Mapping[str, int | None], key: str = "do
     else:
         place = with_ordinal(ordered, "_hash", key, to="_place")
     split, upto = F.lit(next((s for s, n in sizes.items() if n is None), None)), []
-    edge = 0
-    for s, n in sizes.items():
-        if n is not None:
-            upto.append((edge + n, s))
-            edge += n
+    sized = [s for s, n in sizes.items() if n is not None]
+    edge, each, odd = F.lit(0), F.lit(0), F.lit(0)
+    if shrink and sized:
+        rows = df.groupBy(*([F.col(per)] if per else [])).agg(F.count(F.lit(1)).alias("_rows"))
+        place = null_safe_join(place, light(rows), [per] if per else []) if per else place.crossJoin(F.broadcast(rows))  # one row
+        missing = F.greatest(F.lit(0), F.lit(sum(sizes[s] for s in sized)) - F.col("_rows"))
+        each, odd = F.floor(missing / len(sized)), missing % len(sized)
+    for s in sized:
+        edge = edge + F.greatest(F.lit(0), F.lit(sizes[s]) - each - (odd if s == sized[0] else F.lit(0)))
+        upto.append((edge, s))
     for end, s in reversed(upto):
         split = F.when(F.col("_place") < end, F.lit(s)).otherwise(split)
-    return place.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_hash", "_place")
+    return place.withColumn("split", split).filter(F.col("split").isNotNull()).drop("_hash", "_place", "_rows")
 
 
 #: ASCII white space and punctuation, which do not count towards a chunk's size (fixed values).

@@ -600,3 +600,5 @@ def top_orders(t):
 
 
 from quern.plans import evaluation_catalog  # noqa: E402, F401  (registers its queries)
+
+from quern.plans import corpus_catalog  # noqa: E402, F401  (registers its queries)
