@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: "simple": runs of letters, digits and underscores. "standard": as well, joined by an inner apostrophe, full stop or
-#: comma as Unicode word breaking does (letters around ' and ., digits around . and ,).
+from quern.functions.word_breaks import standard_tokens
+
+#: "simple": runs of letters, digits and underscores. "standard": Unicode's word boundaries (word_breaks); its pattern here
+#: does the same for scripts with spaces alone: letters around ' and ., digits around . and ,.
 PATTERNS = {
     "simple": r"[\p{L}\p{N}_]+",
     "standard": r"[\p{L}\p{M}\p{N}_]+(?:(?:(?<=\p{L})['’.:·](?=\p{L})|(?<=\p{N})[.,'](?=\p{N}))[\p{L}\p{M}\p{N}_]+)*",
@@ -17,11 +19,15 @@ PATTERNS = {
 
 def words(text: Column, mode: str = "simple") -> Column:
     """The tokens as they stand in the text."""
+    if mode == "standard":
+        return standard_tokens(text, lower=False).getField("token")
     return F.regexp_extract_all(text, F.lit(PATTERNS[mode]), F.lit(0))
 
 
 def tokens(text: Column, mode: str = "simple") -> Column:
     """Lower-case tokens."""
+    if mode == "standard":
+        return standard_tokens(text).getField("token")
     return F.transform(words(text, mode), F.lower)
 
 
@@ -48,6 +54,8 @@ def token_offsets(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
 
     A token starts after the gaps and tokens before it, whose lengths are summed by a window over the document.
     """
+    if mode == "standard":
+        return docs.select(key, F.posexplode(standard_tokens(F.col(text))).alias("pos", "t")).select(key, "pos", "t.token", "t.start", "t.end")
     parts = docs.select(key, F.arrays_zip(words(F.col(text), mode).alias("w"), F.split(F.col(text), PATTERNS[mode], -1).alias("g")).alias("p"))
     rows = parts.select(key, F.posexplode("p").alias("pos", "p")).select(key, "pos", F.col("p.w").alias("w"), F.length("p.g").alias("gap"))
     ends = F.sum(F.coalesce(F.length("w"), F.lit(0)) + F.col("gap")).over(Window.partitionBy(key).orderBy("pos"))

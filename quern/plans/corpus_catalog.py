@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.tokens import tokens
 from quern.operators import bloom, contamination, dedup, gram_index
 from quern.operators.staging import shared_folder
 from quern.plans import datasets
 from quern.plans.catalog import SPANS_SQL, VOCAB_SQL, WORDS, _encoded, _grams_sql, query
 from quern.sources import token_files
+from quern.streaming import incremental
+from quern.streaming.ledger import Ledger
 
 
 def _folder(name: str) -> str:
@@ -134,3 +137,40 @@ FROM p JOIN (SELECT doc_id, sum(id)::BIGINT AS s FROM e GROUP BY doc_id) USING (
 def token_file_documents(t):
     back = token_files.write_token_files(_encoded(t), _folder("tokens"), parts=7)
     return back.select("part", "doc", F.size("ids").cast("long").alias("num_tokens"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+
+
+# --- a search that goes on --------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH d AS ({_grams_sql("documents", "doc_id", 13)}), b AS ({_grams_sql("benchmark", "item_id", 13)}),
+h AS (SELECT DISTINCT doc_id, gram FROM d WHERE gram IN (SELECT gram FROM b))
+SELECT gram, count(DISTINCT doc_id) AS documents, (SELECT count(*) FROM documents) AS position FROM h GROUP BY gram"""
+)
+def streamed_grams(t):
+    """The documents of each gram, searched file by file; the last batch is run again after it was committed."""
+    docs, folder = t("documents").select("doc_id", "text"), _folder("stream")
+    docs.repartition(3).write.parquet(f"{folder}/in")
+    grams = gram_index.store_grams(contamination.benchmark_grams(t("benchmark"), 13), f"{folder}/index")
+    for _ in range(2):
+        incremental.decontaminate_stream(docs.sparkSession, f"{folder}/in", "doc_id long, text string", grams, f"{folder}/out", f"{folder}/state", 1).awaitTermination()
+    ledger = Ledger(docs.sparkSession, f"{folder}/out")
+    ledger.commit(ledger.committed()[-1], docs, lambda new: contamination.hits(new, grams))
+    _, found, position = incremental.search_state(ledger)
+    return found.withColumn("position", F.lit(position).cast("long"))
+
+
+# --- words of many scripts --------------------------------------------------------------------------------------------
+
+_SCRIPTS = ("aeiourn", "漢あカカกก字")
+
+
+@query(
+    rf"""WITH s AS (SELECT doc_id, lower(translate(text, '{_SCRIPTS[0]}.,:''', '{_SCRIPTS[1]}    ')) AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[漢字あ]|[ก]+|[カ_]*カ[カ_]*|(?:[\p{{Latin}}\p{{N}}_]*[\p{{Latin}}\p{{N}}][\p{{Latin}}\p{{N}}_]*)') AS w FROM s)
+SELECT doc_id, len(w)::BIGINT AS num_tokens, md5(array_to_string(w, '|')) AS tokens_md5 FROM w"""
+)
+def mixed_script_tokens(t):
+    """Tokens of texts whose vowels and some consonants are Han, Hiragana, Katakana and Thai; marks between letters are blanks."""
+    own = tokens(F.translate("text", _SCRIPTS[0] + ".,:'", _SCRIPTS[1] + "    "), "standard")
+    return t("documents").select("doc_id", own.alias("w")).select("doc_id", F.size("w").cast("long").alias("num_tokens"), F.md5(F.array_join("w", "|").cast("binary")).alias("tokens_md5"))

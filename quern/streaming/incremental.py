@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from quern.operators.gram_index import StoredGrams
 from quern.operators.staging import with_ordinal
+from quern.streaming.ledger import Ledger, search_stream
 
 
 def remaining_grams(instances: DataFrame, done: int, *order: str, grams: str = "ngrams") -> DataFrame:
@@ -38,14 +40,28 @@ def sessions(events: DataFrame, gap: str, user: str = "user_id", time: str = "ts
     return marked.groupBy(F.session_window(time, gap).alias("w"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def decontaminate_stream(spark: SparkSession, docs: str, schema: str | T.StructType, grams: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Appends (doc_id, pos, n, gram) hits of each new file of documents; resumes at its checkpoint."""
+def decontaminate_stream(spark: SparkSession, docs: str, schema: str | T.StructType, grams: DataFrame | StoredGrams, out: str, checkpoint: str, files_per_batch: int = 1_000) -> StreamingQuery:
+    """Searches each new file of documents for grams; hits (doc_id, digest, pos, n, gram) go to a ledger below out, once.
+
+    Ledger(spark, out) gives the hits of all committed batches, the contaminated documents' and items' accumulated state
+    and the position; the query resumes at its checkpoint.
+    """
     from quern.operators.contamination import hits
 
-    def batch(new: DataFrame, _: int) -> None:
-        hits(new, grams).write.mode("append").parquet(out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(docs)
+    return search_stream(stream, lambda new: hits(new, grams), Ledger(spark, out), checkpoint)
+
+
+#: What decontaminate_stream's ledger holds.
+HITS = "doc_id long, digest long, pos int, n int, gram string"
+
 
-    return read_stream(spark, docs, schema).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def search_state(ledger: Ledger) -> tuple[DataFrame, DataFrame, int]:
+    """(documents, grams, position): positions of hits per document and documents per gram of all committed batches."""
+    found = ledger.found(HITS)
+    documents = found.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_set(F.struct("pos", "n"))).alias("hits"))
+    grams = found.groupBy("gram").agg(F.count_distinct("doc_id", "digest").alias("documents"))
+    return documents, grams, ledger.position()
 
 
 def is_late(time: Column, watermark: Column, delay: str) -> Column:
