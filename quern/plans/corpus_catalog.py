@@ -7,8 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import json_update, text_metrics
 from quern.functions.tokens import tokens
-from quern.operators import bloom, contamination, dedup, gram_index
+from quern.operators import bloom, contamination, dedup, gram_index, samplers
 from quern.operators.staging import shared_folder
 from quern.plans import datasets
 from quern.plans.catalog import SPANS_SQL, VOCAB_SQL, WORDS, _encoded, _grams_sql, query
@@ -174,3 +175,87 @@ def mixed_script_tokens(t):
     """Tokens of texts whose vowels and some consonants are Han, Hiragana, Katakana and Thai; marks between letters are blanks."""
     own = tokens(F.translate("text", _SCRIPTS[0] + ".,:'", _SCRIPTS[1] + "    "), "standard")
     return t("documents").select("doc_id", own.alias("w")).select("doc_id", F.size("w").cast("long").alias("num_tokens"), F.md5(F.array_join("w", "|").cast("binary")).alias("tokens_md5"))
+
+
+# --- samplers ---------------------------------------------------------------------------------------------------------
+
+
+def _place_sql(rows: str, n: str, seed: int, epoch: int) -> str:
+    """CTEs that end in `placed` (key, x): the place of each ordinal o of rows (key, o), by the same rounds, walking on while beyond n."""
+
+    def hashed(x: str, key: int) -> str:
+        one = f"((({x} + {key}) & 2147483647) * 1103515245 & 2147483647)"
+        two = f"((xor({one}, {one} >> 15)) * 1220703125 & 2147483647)"
+        return f"xor({two}, {two} >> 13)"
+
+    inner = "SELECT key, x // b AS l, x % b AS r, a, b, n FROM walk WHERE first OR x >= n"
+    for i, key in enumerate(samplers.round_keys(seed, epoch)):
+        left, right = ("l", f"(r + {hashed('l', key)}) % b") if i % 2 else (f"(l + {hashed('r', key)}) % a", "r")
+        inner = f"SELECT key, {left} AS l, {right} AS r, a, b, n FROM ({inner})"
+    return f"""size AS (SELECT n, a, greatest(1, (n + a - 1) // a) AS b FROM (SELECT n, CASE WHEN n <= 1 THEN 1 ELSE floor(sqrt(n - 1))::BIGINT + 1 END AS a FROM (SELECT ({n})::BIGINT AS n))),
+walk(key, x, a, b, n, first) AS (
+  SELECT key, o::BIGINT, a, b, n, true FROM ({rows}), size
+  UNION ALL SELECT key, l * b + r, a, b, n, false FROM ({inner})),
+placed AS (SELECT key, x FROM walk WHERE NOT first AND x < n)"""
+
+
+@query(f"WITH RECURSIVE {_place_sql('SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents', 'SELECT count(*) FROM documents', 3, 1)} SELECT key AS doc_id, x AS place FROM placed")
+def epoch_order(t):
+    return samplers.epoch_order(t("documents").select("doc_id"), "doc_id", seed=3, epoch=1)
+
+
+@query(
+    f"""WITH RECURSIVE {_place_sql('SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents', 'SELECT count(*) FROM documents', 3, 2)},
+r AS (SELECT key, x FROM placed UNION ALL SELECT key, x + n FROM placed, size WHERE x + n < (n + 6) // 7 * 7)
+SELECT key AS doc_id, (x % 7)::INTEGER AS rank, x // 7 AS step FROM r"""
+)
+def rank_samples(t):
+    return samplers.rank_samples(t("documents").select("doc_id"), 7, "doc_id", seed=3, epoch=2)
+
+
+# --- updates, text metrics --------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT event_id, '{"k":' || (json_extract_string(props, '$.k')::BIGINT * 2) || ',"from":{"ids":[{},' || event_id || ']},"kind":"' || event_type || '"}' AS props FROM events"""
+)
+def json_updates(t):
+    rows = t("events").select("event_id", "event_type", "props")
+    doubled = json_update.set_path(F.col("props"), "$.k", (F.get_json_object("props", "$.k").cast("long") * 2).cast("string"))
+    listed = json_update.set_path(doubled, "$.from.ids[1]", F.col("event_id").cast("string"))
+    return rows.select("event_id", json_update.set_path(listed, '["kind"]', F.to_json(F.array("event_type")).substr(F.lit(2), F.length(F.to_json(F.array("event_type"))) - 2)).alias("props"))
+
+
+_PAIRS_SQL = r"""p AS (SELECT b.conv_id, b.turn, regexp_extract_all(lower(a.text), '[\p{L}\p{N}_]+') AS r, regexp_extract_all(lower(b.text), '[\p{L}\p{N}_]+') AS p FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+g AS (SELECT conv_id, turn, 'p' AS side, n, array_to_string(p[i : i + n - 1], ' ') AS w FROM (SELECT conv_id, turn, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM p, (VALUES (1), (2)) v(n))
+      UNION ALL SELECT conv_id, turn, 'r', n, array_to_string(r[i : i + n - 1], ' ') FROM (SELECT conv_id, turn, r, n, unnest(range(1, len(r) - n + 2)) AS i FROM p, (VALUES (1), (2)) v(n))),
+c AS (SELECT conv_id, turn, n, w, count(*) FILTER (side = 'p') AS cp, count(*) FILTER (side = 'r') AS cr FROM g GROUP BY ALL),
+m AS (SELECT conv_id, turn, n, sum(least(cp, cr)) AS m, sum(cp) AS t, sum(cr) AS u FROM c GROUP BY ALL)"""
+
+
+@query(
+    f"""WITH {_PAIRS_SQL}, s AS (SELECT conv_id, sum(m) FILTER (n = 1) AS m1, sum(m) FILTER (n = 2) AS m2, sum(t) FILTER (n = 1) AS t1, sum(t) FILTER (n = 2) AS t2 FROM m GROUP BY conv_id),
+l AS (SELECT conv_id, sum(len(p)) AS a, sum(len(r)) AS b FROM p GROUP BY conv_id)
+SELECT conv_id, coalesce(m1, 0)::BIGINT AS matches_1, coalesce(m2, 0)::BIGINT AS matches_2, round(CASE WHEN coalesce(m1, 0) + coalesce(m2, 0) > 0 AND t2 > 0 THEN 100 * CASE WHEN a < b THEN exp(1 - b / a) ELSE 1 END
+  * exp((ln(CASE WHEN m1 > 0 THEN m1 / t1 ELSE 1 / (2 * t1) END) + ln(CASE WHEN m2 > 0 THEN m2 / t2 ELSE 1 / (CASE WHEN m1 > 0 THEN 2 ELSE 4 END * t2) END)) / 2) ELSE 0 END, 6) AS bleu
+FROM l LEFT JOIN s USING (conv_id)"""
+)
+def bleu_of_turns(t):
+    """BLEU-2 of each conversation's turns against the turns before them."""
+    turns = t("conversations").select("conv_id", "turn", "text")
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
+    out = text_metrics.corpus_bleu(pairs, ["conv_id"], F.col("text"), F.array("before"), "simple", 2)
+    return out.select("conv_id", F.element_at("counts", 1).alias("matches_1"), F.element_at("counts", 2).alias("matches_2"), F.round("bleu", 6).alias("bleu"))
+
+
+@query(
+    r"""WITH p AS (SELECT b.conv_id, b.turn, regexp_extract_all(lower(a.text), '[a-z0-9]+') AS r, regexp_extract_all(lower(b.text), '[a-z0-9]+') AS p FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+g AS (SELECT conv_id, turn, 1 AS side, unnest(p) AS w FROM p UNION ALL SELECT conv_id, turn, 2, unnest(r) FROM p),
+c AS (SELECT conv_id, turn, w, count(*) FILTER (side = 1) AS cp, count(*) FILTER (side = 2) AS cr FROM g GROUP BY ALL),
+m AS (SELECT conv_id, turn, sum(least(cp, cr)) AS m FROM c GROUP BY ALL)
+SELECT conv_id, turn, round(CASE WHEN len(p) > 0 AND len(r) > 0 THEN 200.0 * coalesce(m, 0) / (len(p) + len(r)) ELSE 0 END, 6)::DOUBLE AS rouge1 FROM p LEFT JOIN m USING (conv_id, turn)"""
+)
+def rouge_of_turns(t):
+    turns = t("conversations").select("conv_id", "turn", "text")
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.round(text_metrics.rouge(F.col("text"), F.col("before")).getField("rouge1"), 6).alias("rouge1"))
