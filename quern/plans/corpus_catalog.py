@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions import json_update, text_metrics
+from quern.functions import json_update, table_functions, text_metrics
 from quern.functions.tokens import tokens
 from quern.operators import bloom, contamination, dedup, gram_index, samplers
 from quern.operators.staging import shared_folder
 from quern.plans import datasets
 from quern.plans.catalog import SPANS_SQL, VOCAB_SQL, WORDS, _encoded, _grams_sql, query
 from quern.sources import token_files
+from quern.sources import zstd_frames as zstd
 from quern.streaming import incremental
 from quern.streaming.ledger import Ledger
 
@@ -259,3 +260,67 @@ def rouge_of_turns(t):
     turns = t("conversations").select("conv_id", "turn", "text")
     pairs = turns.join(turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("before")), ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", F.round(text_metrics.rouge(F.col("text"), F.col("before")).getField("rouge1"), 6).alias("rouge1"))
+
+
+# --- table functions, zstd files --------------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH RECURSIVE p AS (
+  SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS k, length(regexp_replace(x, '[\x09-\x0D !-/:-@\[-`{-~]', '', 'g')) AS n
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents WHERE text <> '') WHERE trim(x, ' ' || chr(9) || chr(13)) <> ''),
+c(doc_id, k, chunk, held) AS (
+  SELECT doc_id, k, 1, n FROM p WHERE k = 1
+  UNION ALL
+  SELECT p.doc_id, p.k, CASE WHEN c.held >= 900 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.held >= 900 THEN p.n ELSE c.held + p.n END FROM c JOIN p ON p.doc_id = c.doc_id AND p.k = c.k + 1),
+j AS (SELECT doc_id, chunk, rtrim(string_agg(x, chr(10) ORDER BY k), ' ' || chr(9) || chr(10) || chr(13)) AS text FROM c JOIN p USING (doc_id, k) GROUP BY doc_id, chunk)
+SELECT doc_id, lang, chunk::INTEGER AS chunk, max(chunk) OVER (PARTITION BY doc_id)::INTEGER AS "of", md5(j.text) AS text_md5 FROM j JOIN documents d USING (doc_id)"""
+)
+def chunks_by_sql(t):
+    docs = t("documents").select("doc_id", "lang", "text")
+    table_functions.register(docs.sparkSession)
+    docs.createOrReplaceTempView("documents_to_chunk")
+    made = docs.sparkSession.sql(r"SELECT * FROM chunks(TABLE(documents_to_chunk), 900, 'text', '\n')")
+    return made.select("doc_id", "lang", "chunk", "of", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(f"""WITH {SPANS_SQL} SELECT doc_id, "start", "end" FROM m""")
+def spans_merged_by_sql(t):
+    """The spans of single hits, merged by a table function over partitions."""
+    docs, grams = t("documents"), contamination.benchmark_grams(t("benchmark"), 13)
+    found = contamination.hits(docs, grams)
+    at = contamination.token_offsets(contamination.touched(docs, found).select("doc_id", "text").distinct())
+    spans = found.join(at.select("doc_id", "pos", "start"), ["doc_id", "pos"]).join(at.select("doc_id", (F.col("pos") - 12).alias("pos"), "end"), ["doc_id", "pos"]).select("doc_id", "start", "end")
+    table_functions.register(docs.sparkSession)
+    spans.createOrReplaceTempView("spans_to_merge")
+    return docs.sparkSession.sql("SELECT * FROM merged_spans(TABLE(spans_to_merge) PARTITION BY doc_id ORDER BY (start, `end`))")
+
+
+@query(f"""SELECT lang, count(DISTINCT w)::DOUBLE AS words FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM documents) WHERE w LIKE 'a%' GROUP BY lang""")
+def distinct_words(t):
+    """Different words that begin with an a, from sketches that are larger than their numbers (and so exact)."""
+    rows = t("documents").select("lang", F.explode(tokens(F.col("text"))).alias("w")).filter("w LIKE 'a%'")
+    return table_functions.smallest_hashes(rows, ["lang"], F.col("w"), 1 << 20).select("lang", table_functions.distinct_estimate(F.col("hashes"), 1 << 20).alias("words"))
+
+
+@query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS line_num, doc_id, md5(text) AS text_md5 FROM documents")
+def zstd_frames(t):
+    """documents as JSON lines in a zstd file of many frames that don't end with lines, read back run by run."""
+    docs, folder = t("documents").select("doc_id", "text"), _folder("zstd")
+
+    def write(rows):
+        import pyarrow as pa
+        import zstandard
+
+        held = b"".join(line.encode() + b"\n" for batch in rows for line in batch.column(0).to_pylist())
+        at, name = token_files._at(f"{folder}/part.jsonl.zst")
+        at.create_dir(name.rpartition("/")[0], recursive=True)
+        with at.open_output_stream(name, compression=None) as out:
+            for lo in range(0, len(held), 30_011):
+                out.write(zstandard.ZstdCompressor().compress(held[lo : lo + 30_011]))
+        yield pa.RecordBatch.from_pydict({"n": [len(held)]})
+
+    one = docs.orderBy("doc_id").select(F.to_json(F.struct("doc_id", "text")).alias("line")).coalesce(1)
+    one.mapInArrow(write, "n long").collect()
+    lines = zstd.lines(docs.sparkSession, f"{folder}/part.jsonl.zst", 100_000)
+    return lines.select("line_num", F.from_json("value", "doc_id long, text string").alias("r")).select("line_num", "r.doc_id", F.md5(F.col("r.text").cast("binary")).alias("text_md5"))

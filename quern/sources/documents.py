@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.operators.staging import even_part, light, with_ordinal
+from quern.sources import zstd_frames
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType | None = None, ordinals: bool = False) -> DataFrame:
     """Documents from JSON lines. With a schema, columns; without, ``data`` (VARIANT) for whatever the lines hold.
 
-    ordinals adds path and line_num (from 0 in each file). zstd files are decoded by Arrow-batched Python, as the suffix
+    ordinals adds path and line_num (from 0 in each file). zstd files are decoded frame by frame (zstd_frames), as the suffix
     ``.zstd`` isn't one that Hadoop knows; everything else is read by Spark.
     """
     if path.rstrip("*").endswith((".zst", ".zstd")):
-        lines = _zstd_lines(spark, path)
+        lines = zstd_frames.lines(spark, path)
     elif ordinals:
         lines = _numbered_lines(spark, path)
     elif schema is not None:
@@ -48,28 +49,6 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return placed.select("path", (F.col("_at") - F.col("_first") + F.col("_before")).alias("line_num"), "value")
 
 
-def _zstd_lines(spark: SparkSession, path: str) -> DataFrame:
-    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        import zstandard
-
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
-                reader = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content), read_across_frames=True), encoding="utf-8")
-                held: list[str] = []
-                at = 0
-                for line in reader:
-                    held.append(line.rstrip("\n"))
-                    if len(held) == 10_000:
-                        yield pd.DataFrame({"path": name, "line_num": range(at, at + len(held)), "value": held})
-                        at, held = at + len(held), []
-                if held:
-                    yield pd.DataFrame({"path": name, "line_num": range(at, at + len(held)), "value": held})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(lines, "path string, line_num long, value string")
-
-
 def write_jsonl(df: DataFrame, path: str, compression: str = "gzip", rows_per_file: int | None = None, by: str | None = None) -> None:
     """One JSON object a line; with rows_per_file, files of at most so many rows; with by, a folder for each value."""
     writer = df.write.mode("overwrite").option("compression", compression)
