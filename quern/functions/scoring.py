@@ -122,6 +122,36 @@ def threshold_class(score: Column, threshold: float) -> Column:
     return F.struct((score >= threshold).cast("int").alias("label"), score.isNotNull().alias("success"))
 
 
+def choice_scores(log_likelihoods: Column, gold: Column, texts: Column) -> Column:
+    """(acc, acc_norm, nll_per_char) of a question: whether the likeliest choice is the gold one (from 0), whether the likeliest by
+    character is, and the gold one's negative log-likelihood by character. The first of equal choices counts.
+
+    Null for a question whose gold choice is absent or has no likelihood; an empty choice counts as one character.
+    """
+    sizes = F.transform(texts, lambda x: F.greatest(F.length(x), F.lit(1)))
+    by_size = F.zip_with(log_likelihoods, sizes, lambda x, n: x / n)
+    first = lambda values: F.array_position(values, F.array_max(values)) - 1
+    there = (gold >= 0) & (gold < F.size(log_likelihoods)) & F.try_element_at(by_size, gold + 1).isNotNull()
+    hit = lambda values: (first(values) == gold).cast("double")
+    return F.when(there, F.struct(hit(log_likelihoods).alias("acc"), hit(by_size).alias("acc_norm"), (-F.try_element_at(by_size, gold + 1)).alias("nll_per_char")))
+
+
+def task_means(rows: DataFrame, *by: str, scores: str = "scores") -> DataFrame:
+    """(by, acc, acc_norm, nll_per_char, questions): means over the questions that have scores."""
+    names = ("acc", "acc_norm", "nll_per_char")
+    return rows.groupBy(*by).agg(*[F.avg(f"{scores}.{n}").alias(n) for n in names], F.count(scores).alias("questions"))
+
+
+def perplexities(rows: DataFrame, *by: str, log_likelihood: str = "log_likelihood", text: str = "text") -> DataFrame:
+    """(by, word_perplexity, byte_perplexity, bits_per_byte) from sums of log-likelihoods, words and UTF-8 bytes of texts."""
+    total, some = F.sum(log_likelihood), F.col(log_likelihood).isNotNull()
+    words = F.sum(F.when(some, F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))))
+    size = F.sum(F.when(some, F.octet_length(text)))
+    return rows.groupBy(*by).agg(
+        F.exp(-F.try_divide(total, words)).alias("word_perplexity"), F.exp(-F.try_divide(total, size)).alias("byte_perplexity"), (-F.try_divide(total, size) / math.log(2)).alias("bits_per_byte")
+    )
+
+
 def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(value * weight) / F.sum(weight)
 

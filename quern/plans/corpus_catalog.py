@@ -4,16 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions import json_update, table_functions, text_metrics
+from quern.functions import cleaning, json_update, scoring, table_functions, text_metrics
 from quern.functions.tokens import tokens
 from quern.operators import bloom, contamination, dedup, gram_index, samplers
 from quern.operators.staging import shared_folder
 from quern.plans import datasets
 from quern.plans.catalog import SPANS_SQL, VOCAB_SQL, WORDS, _encoded, _grams_sql, query
-from quern.sources import token_files
+from quern.sources import documents, token_files
 from quern.sources import zstd_frames as zstd
 from quern.streaming import incremental
 from quern.streaming.ledger import Ledger
@@ -324,3 +324,82 @@ def zstd_frames(t):
     one.mapInArrow(write, "n long").collect()
     lines = zstd.lines(docs.sparkSession, f"{folder}/part.jsonl.zst", 100_000)
     return lines.select("line_num", F.from_json("value", "doc_id long, text string").alias("r")).select("line_num", "r.doc_id", F.md5(F.col("r.text").cast("binary")).alias("text_md5"))
+
+
+# --- scores that can go wrong -----------------------------------------------------------------------------------------
+
+
+def _gain_sql(p: str, g: str) -> str:
+    """F1 of two bags of a word and a number; the gold number must be there."""
+    same = f"({p}.w = {g}.w)::INT + ({p}.k = {g}.k)::INT"
+    return f"CASE WHEN {p}.k <> {g}.k THEN 0 ELSE ({same}) / 2.0 END"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, event_type AS a, coalesce(lead(event_type) OVER (ORDER BY event_id), 'none') AS b, user_id AS u FROM events),
+s AS (SELECT event_id, {{'w': a, 'k': u % 3}} AS p1, {{'w': b, 'k': event_id % 3}} AS p2, unnest([
+        {{'g1': {{'w': b, 'k': u % 3}}, 'g2': {{'w': a, 'k': event_id % 4}}}}, {{'g1': {{'w': a, 'k': event_id % 3}}, 'g2': {{'w': b, 'k': u % 2}}}}]) AS g FROM e),
+x AS (SELECT event_id, (list_sort(list_distinct([p1, p2])) = list_sort(list_distinct([g.g1, g.g2])))::INT::DOUBLE AS exact,
+        round(greatest({_gain_sql("p1", "g.g1")} + {_gain_sql("p2", "g.g2")}, {_gain_sql("p1", "g.g2")} + {_gain_sql("p2", "g.g1")}) / 2, 2)::DOUBLE AS f1 FROM s)
+SELECT event_id, max(exact) AS exact, max(f1) AS f1 FROM x GROUP BY event_id"""
+)
+def spans_of_two_golds(t):
+    """Two predicted spans of a word and a number against two golds of two spans; the SQL tries both assignments."""
+    rows = t("events").select("event_id", F.col("event_type").alias("a"), F.col("user_id").alias("u"), F.coalesce(F.lead("event_type").over(Window.orderBy("event_id")), F.lit("none")).alias("b"))
+
+    def span(word: str, number) -> Column:
+        return F.concat_ws(" ", word, number.cast("string"))
+
+    predicted = F.array(span("a", F.col("u") % 3), span("b", F.col("event_id") % 3))
+    golds = F.array(F.array(span("b", F.col("u") % 3), span("a", F.col("event_id") % 4)), F.array(span("a", F.col("event_id") % 3), span("b", F.col("u") % 2)))
+    return rows.select("event_id", scoring.spans_match(predicted, golds).alias("s")).select("event_id", "s.*")
+
+
+@query(
+    """WITH w AS (SELECT item_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w, (item_id % 5 + 2)::INT AS k FROM benchmark)
+SELECT item_id, array_to_string(list_concat(list_append(w[1 : k - 1], '_'), w[k + 2 :]), ' ') AS masked FROM w"""
+)
+def word_differences(t):
+    """Each item against itself with two of its words replaced by one that it hasn't."""
+    words, k = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "), F.col("item_id") % 5 + 2
+    other = F.concat(F.slice(words, F.lit(1), k.cast("int") - 1), F.array(F.lit("QQQ")), F.slice(words, k.cast("int") + 2, F.size(words)))
+    return t("benchmark").select("item_id", cleaning.word_difference(F.col("text"), F.array_join(other, " ")).alias("masked"))
+
+
+_CHOICES_SQL = "[['a', 'bb', 'ccc', 'dddd'][1 + (i + vec_id) % 4] for i in range(4)]"
+
+
+@query(
+    f"""WITH q AS (SELECT vec_id, label, label % 5 AS gold, embedding[1:4]::DOUBLE[] AS ll, {_CHOICES_SQL} AS c FROM embeddings),
+n AS (SELECT *, [ll[i] / length(c[i]) for i in range(1, 5)] AS by_size FROM q),
+s AS (SELECT label, (list_position(ll, list_max(ll)) = gold + 1)::INT::DOUBLE AS acc, (list_position(by_size, list_max(by_size)) = gold + 1)::INT::DOUBLE AS acc_norm, -by_size[gold + 1] AS nll FROM n WHERE gold < 4)
+SELECT label, round(avg(acc), 9) AS acc, round(avg(acc_norm), 9) AS acc_norm, round(avg(nll), 9) AS nll_per_char, count(*) AS questions FROM s GROUP BY label
+UNION ALL SELECT DISTINCT label, NULL, NULL, NULL, 0 FROM q WHERE gold >= 4"""
+)
+def task_metric_means(t):
+    """Means by label, with vectors' first components as log-likelihoods; labels whose gold choice is absent have none."""
+    texts = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.element_at(F.array(*map(F.lit, ("a", "bb", "ccc", "dddd"))), ((i + F.col("vec_id")) % 4 + 1).cast("int")))
+    likelihoods = F.slice("embedding", 1, 4).cast("array<double>")
+    rows = t("embeddings").select("label", scoring.choice_scores(likelihoods, (F.col("label") % 5).cast("int"), texts).alias("scores"))
+    return scoring.task_means(rows, "label").select("label", *[F.round(c, 9).alias(c) for c in ("acc", "acc_norm", "nll_per_char")], "questions")
+
+
+@query(
+    r"""SELECT role, round(exp(sum(n) * 0.9 / sum(w)), 6) AS word_perplexity, round(exp(sum(n) * 0.9 / sum(b)), 9) AS byte_perplexity, round(sum(n) * 0.9 / sum(b) / ln(2), 9) AS bits_per_byte
+FROM (SELECT role, length(text) AS n, len(regexp_extract_all(text, '\S+')) AS w, octet_length(encode(text)) AS b FROM conversations) GROUP BY role"""
+)
+def perplexity_by_role(t):
+    rows = t("conversations").select("role", "text", (F.length("text") * -0.9).alias("log_likelihood"))
+    found = scoring.perplexities(rows, "role")
+    return found.select("role", F.round("word_perplexity", 6).alias("word_perplexity"), F.round("byte_perplexity", 9).alias("byte_perplexity"), F.round("bits_per_byte", 9).alias("bits_per_byte"))
+
+
+@query(
+    """WITH s AS (SELECT page_id, ntile(7) OVER (ORDER BY page_id) AS shard FROM pages)
+SELECT (shard % 3)::INTEGER AS rank, shard::INTEGER AS shard, count(*) AS pages, min(page_id) AS first, max(page_id) AS last FROM s GROUP BY shard"""
+)
+def pages_of_ranks(t):
+    """The pages that each rank downloads, shard by shard."""
+    sharded = documents.shard_urls(t("pages").select("page_id"), 7, "page_id")
+    ranks = documents.shards_of_ranks(sharded, 3).select("rank", F.explode("shards").alias("shard"))
+    return ranks.join(sharded, "shard").groupBy("rank", "shard").agg(F.count(F.lit(1)).alias("pages"), F.min("page_id").alias("first"), F.max("page_id").alias("last"))

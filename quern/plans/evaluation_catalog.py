@@ -433,11 +433,11 @@ def memmap_examples(t):
 
 
 @query(
-    rf"""WITH b AS (SELECT item_id, [length(x) for x in regexp_extract_all(text, '{WORDS}')][1:30] AS i FROM benchmark WHERE item_id % 2 = 0), m AS (SELECT max(len(i)) + 1 AS w FROM b), y AS (SELECT item_id, list_append(i, (item_id % 4)::INTEGER) AS i FROM b)
+    rf"""WITH b AS (SELECT item_id, [length(x) for x in regexp_extract_all(text, '{WORDS}')] AS i FROM benchmark WHERE item_id % 2 = 0), m AS (SELECT max(len(i)) + 1 AS w FROM b), y AS (SELECT item_id, list_append(i, (item_id % 4)::INTEGER) AS i FROM b)
 SELECT array_to_string(list_concat(i, [0 for k in range(w - len(i))]), ',') AS input_ids, array_to_string([CASE WHEN k = len(i) - 2 THEN i[-1] ELSE -100 END for k in range(w)], ',') AS labels FROM y, m"""
 )
 def multiple_choice(t):
-    ids = F.slice(F.transform(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), lambda w: F.length(w)), 1, 30)
+    ids = F.transform(F.regexp_extract_all("text", F.lit(WORDS), F.lit(0)), lambda w: F.length(w))
     task = F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd")
     rows = t("benchmark").select(task.alias("task"), ids.alias("input_ids"), F.array((F.col("item_id") % 4).cast("int")).alias("target_ids"))
     out = examples.multiple_choice(rows, "even", 0)
