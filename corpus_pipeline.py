@@ -71,11 +71,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read again."""
+    """The stages over documents, each written as Parquet to the shared folder and read again; the last one's rows stay there."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for n, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{n}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if n:  # the rows of the stage before have been read for the last time
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs

@@ -15,49 +15,74 @@ from quern.operators.staging import even_part, light, staged, with_ordinal
 
 
 def vocabulary(docs: DataFrame, text: str = "text", special: int = 1) -> DataFrame:
-    """(term, id): distinct word tokens numbered in their order, after `special` reserved ids."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).distinct()
+    """(term, docs, id): distinct word tokens numbered in their order, after `special` reserved ids, and in how many texts they are."""
+    terms = docs.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     return with_ordinal(terms, "term", to="id").withColumn("id", (F.col("id") + special).cast("int"))
 
 
-#: Terms of a vocabulary that each worker holds at most; a larger one is joined to the tokens.
+#: Terms of a vocabulary that each worker holds: those in most texts. Only words beyond them are joined.
 VOCABULARY = 1_000_000
 
 
 def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
     """(key, ids): the word ids of each non-empty text, with an end token. The deterministic default tokeniser.
 
-    Words that the vocabulary lacks are left out. Documents are encoded where they lie, in Arrow batches, as long as the
-    vocabulary has at most VOCABULARY terms.
+    Words that the vocabulary lacks are left out. Documents are encoded where they lie, in Arrow batches, with the VOCABULARY
+    terms that tasks hold. What is left in a larger vocabulary are rare words: their occurrences alone are
+    joined to the other terms, and their ids come back to the token lists that wait for them.
     """
+    spark = docs.sparkSession
     rows = docs.filter(F.length(text) > 0)
-    vocab = staged(vocab.select("term", F.col("id").cast("int").alias("id")))
-    if vocab.count() <= VOCABULARY:
-        known = vocab.toPandas()
-        shared = docs.sparkSession.sparkContext.broadcast((known["term"].tolist(), known["id"].to_numpy(np.int32)))  # VOCABULARY terms at most
-        schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, ids array<int>"
-
-        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            terms, numbers = shared.value
-            ids = dict(zip(terms, numbers.tolist(), strict=True))
-            for batch in batches:
-                found = batch.column(1)
-                words = found.flatten().cast(pa.string()).dictionary_encode()
-                own = np.fromiter((ids.get(w, -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
-                at = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
-                there = at >= 0
-                sizes = np.diff(found.offsets.to_numpy())
-                of = np.repeat(np.arange(len(sizes)), sizes)[there]
-                held = np.bincount(of, minlength=len(sizes))
-                edges = np.concatenate([[0], np.cumsum(held + 1)])
-                out = np.full(edges[-1], end, np.int32)
-                out[np.arange(len(of)) + of] = at[there]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out))], names=[key, "ids"])
-
-        return rows.select(key, tokens(F.col(text)).alias("t")).mapInArrow(encode, schema)
-    placed = rows.select(key, F.posexplode_outer(tokens(F.col(text))).alias("pos", "term"))
-    known = placed.join(vocab, "term", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id")))).alias("p"))
-    return known.select(key, F.concat(F.col("p.id"), F.array(F.lit(end))).alias("ids"))
+    often = F.col("docs") if "docs" in vocab.columns else F.lit(0)
+    vocab = staged(vocab.select("term", F.col("id").cast("int").alias("id"), often.alias("often")))
+    total = vocab.count()
+    held = vocab if total <= VOCABULARY else vocab.orderBy(F.desc("often"), "term").limit(VOCABULARY)
+    known = held.select("term", "id").toPandas()
+    shared = spark.sparkContext.broadcast((known["term"].tolist(), known["id"].to_numpy(np.int32)))  # VOCABULARY terms at most
+    waiting = total > VOCABULARY
+    name, kind = docs.schema[key].name, docs.schema[key].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, numbers = shared.value
+        ids = dict(zip(terms, numbers.tolist(), strict=True))
+        for batch in batches:
+            found = batch.column(1)
+            words = found.flatten().cast(pa.string()).dictionary_encode()
+            own = np.fromiter((ids.get(w, -1) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))
+            at = own[words.indices.to_numpy(zero_copy_only=False)] if len(own) else np.zeros(0, np.int64)
+            there = np.ones(len(at), bool) if waiting else at >= 0
+            sizes = np.diff(found.offsets.to_numpy())
+            of = np.repeat(np.arange(len(sizes)), sizes)[there]
+            edges = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)) + 1)])
+            out = np.full(edges[-1], end, np.int32)
+            out[np.arange(len(of)) + of] = at[there]
+            columns = [batch.column(0), pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(out))]
+            if waiting:
+                lacking = np.flatnonzero(at < 0)
+                counts = np.concatenate([[0], np.cumsum(np.bincount(of[lacking], minlength=len(sizes)))])
+                columns.append(pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), words.take(pa.array(lacking)).dictionary_decode()))
+            yield pa.RecordBatch.from_arrays(columns, names=[name, "ids", "rare"][: len(columns)])
+
+    coded = rows.select(key, tokens(F.col(text)).alias("t")).mapInArrow(encode, f"`{name}` {kind}, ids array<int>" + (", rare array<string>" if waiting else ""))
+    if not waiting:
+        return coded
+    coded = staged(coded.withColumn("_row", F.monotonically_increasing_id()))
+    others = vocab.join(held.select("term"), "term", "left_anti").select("term", "id")
+    asked = coded.select("_row", F.posexplode("rare").alias("at", "term"))
+    told = asked.join(others, "term", "left").groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("id", F.lit(-1)).alias("id")))).alias("told"))
+
+    @F.arrow_udf("array<int>")
+    def filled(ids: pa.Array, told: pa.Array) -> pa.Array:
+        out = []
+        for own, rare in zip(ids, told, strict=True):
+            values = own.values.to_numpy(zero_copy_only=False).copy()
+            if rare.is_valid:
+                values[values < 0] = np.asarray(rare.as_py(), np.int32)
+            out.append(values[values >= 0])
+        return pa.array(out, pa.list_(pa.int32()))
+
+    waiting_rows = coded.filter(F.size("rare") > 0).join(told, "_row").select(key, filled(F.col("ids"), F.col("told.id")).alias("ids"))
+    return coded.filter(F.size("rare") == 0).select(key, "ids").unionByName(waiting_rows)
 
 
 def encode_with(docs: DataFrame, encoder: Callable[[], Callable[[str], list[int]]], key: str = "doc_id", text: str = "text", end: int | None = None) -> DataFrame:

@@ -313,7 +313,7 @@ def zstd_frames(t):
         import zstandard
 
         held = b"".join(line.encode() + b"\n" for batch in rows for line in batch.column(0).to_pylist())
-        at, name = token_files._at(f"{folder}/part.jsonl.zst")
+        at, name = token_files.file_system_of(f"{folder}/part.jsonl.zst")
         at.create_dir(name.rpartition("/")[0], recursive=True)
         with at.open_output_stream(name, compression=None) as out:
             for lo in range(0, len(held), 30_011):

@@ -37,8 +37,10 @@ _NAME = re.compile(r"(?P<split>.+)-part-(?P<part>\d+)-of-(?P<parts>\d+)\.bin")
 TASK_TOKENS, BATCH_TOKENS = 32 << 20, 1 << 20
 
 
-def _at(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+def file_system_of(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, and the path there. Hadoop's name for S3 is understood too."""
+    path = re.sub(r"^s3[an]://", "s3://", path)
+    return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9]+:", path) else (fs.LocalFileSystem(), path)
 
 
 @dataclass
@@ -78,7 +80,7 @@ class _Files:
 
     def of_split(self) -> list[tuple[int, str, int]]:
         """(part from 0, path without suffix, tokens) of the split's files."""
-        at, root = _at(self.path)
+        at, root = file_system_of(self.path)
         found = []
         for info in at.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             m = _NAME.fullmatch(info.base_name)
@@ -94,7 +96,7 @@ class _Reader(_Files, DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        at, _ = _at(self.path)
+        at, _ = file_system_of(self.path)
         for part, file, tokens in self.of_split():
             if self.context:
                 total, step = max(0, tokens - 1) // self.context, max(1, self.each // self.context)
@@ -113,7 +115,7 @@ class _Reader(_Files, DataSourceReader):
         return np.frombuffer(file.read(n * self.width), self.kind).astype(np.int32)
 
     def _examples(self, span: _Span) -> Iterator[pa.RecordBatch]:
-        at, _ = _at(self.path)
+        at, _ = file_system_of(self.path)
         step = max(1, BATCH_TOKENS // self.context)
         with at.open_input_file(f"{span.file}.bin") as file:
             for lo in range(span.first, span.last, step):
@@ -124,7 +126,7 @@ class _Reader(_Files, DataSourceReader):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, span.part, np.int32)), pa.array(np.arange(lo, lo + n)), *lists], names=["part", "example", "inputs", "targets"])
 
     def _documents(self, span: _Span) -> Iterator[pa.RecordBatch]:
-        at, _ = _at(self.path)
+        at, _ = file_system_of(self.path)
         with at.open_input_file(f"{span.file}.idx") as index:
             before = sum(int(self._tokens(index, lo, min(BATCH_TOKENS, span.first - lo)).sum(dtype=np.int64)) for lo in range(0, span.first, BATCH_TOKENS))
             sizes = self._tokens(index, span.first, span.last - span.first).astype(np.int64)
@@ -150,7 +152,7 @@ class _Writer(_Files, DataSourceArrowWriter):
         self.overwrite, self.parts, self.job = overwrite, int(options["parts"]), uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        at, root = _at(self.path)
+        at, root = file_system_of(self.path)
         own = f"{root}/_temporary/{self.job}/{uuid.uuid4().hex}"
         at.create_dir(own, recursive=True)
         done: list[tuple[int, str, int, int]] = []
@@ -184,7 +186,7 @@ class _Writer(_Files, DataSourceArrowWriter):
         return _Written(done)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        at, root = _at(self.path)
+        at, root = file_system_of(self.path)
         made = sorted(p for m in messages if m for p in m.parts)
         if len({p for p, *_ in made}) < len(made):
             self.abort(messages)
@@ -202,7 +204,7 @@ class _Writer(_Files, DataSourceArrowWriter):
         self._clear()
 
     def _clear(self) -> None:
-        at, root = _at(self.path)
+        at, root = file_system_of(self.path)
         if at.get_file_info(f"{root}/_temporary/{self.job}").type == fs.FileType.Directory:
             at.delete_dir(f"{root}/_temporary/{self.job}")
         rest = f"{root}/_temporary"

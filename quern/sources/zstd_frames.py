@@ -11,17 +11,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.sources.token_files import file_system_of
+
 #: Compressed bytes of a run, bytes of a piece of decoded text, and lines of a batch.
 CHUNK, PIECE, LINES = 8 << 20, 1 << 20, 10_000
 _MAGIC, _SKIPPED = b"\x28\xb5\x2f\xfd", range(0x184D2A50, 0x184D2A60)
 
 
 def _open(path: str) -> pa.NativeFile:
-    at, name = fs.FileSystem.from_uri(path)
+    at, name = file_system_of(path)
     return at.open_input_file(name)
 
 
