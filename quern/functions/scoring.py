@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.cleaning import as_number, number_aware
-from quern.operators.staging import staged
+from quern.operators.staging import light, null_safe_join, staged
 
 
 def bag_f1(predicted: Column, gold: Column) -> Column:
@@ -251,17 +251,32 @@ def win_rates(judged: DataFrame) -> DataFrame:
 
 
 def running_best(df: DataFrame, value: str, order: str, per: Sequence[str] = (), patience: int | None = None, lower: bool = True) -> DataFrame:
-    """df with best (so far), since_best (rows since it was reached) and, with patience, whether to stop."""
-    w = Window.partitionBy(*per).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    best = (F.min if lower else F.max)(value).over(w)
-    place = F.row_number().over(Window.partitionBy(*per).orderBy(order))
-    rows = df.withColumn("best", best).withColumn("_row", place)
-    prior = F.lag("best").over(Window.partitionBy(*per).orderBy(order))
-    fresh = F.when(prior.isNull() | (F.col("best") != prior), F.col("_row"))
-    rows = rows.withColumn("_at", fresh).withColumn("since_best", F.col("_row") - F.max("_at").over(w))
+    """df with best (so far), since_best (rows since it was reached) and, with patience, whether to stop.
+
+    Rows are dealt by ranges of groups and order, and each range is followed on its own; what the ranges of a group before it
+    have reached (one small row each) goes in at its start. So a group of any size has many tasks. While a group has
+    had no value its best is null, and every row counts as the latest. The order should tell a group's rows apart.
+    """
+    least = F.min if lower else F.max
+    better = F.least if lower else F.greatest  # both pass nulls over
+    ranged = staged(df.repartitionByRange(*per, order).withColumn("_range", F.spark_partition_id()))
+    parts, own = [*per, "_range"], Window.partitionBy(*per, "_range").orderBy(order)
+    before = Window.partitionBy(*per).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ranged.groupBy(*parts).agg(least(value).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    starts = ends.select(*parts, least("_best").over(before).alias("_best"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows"))
+    rows = null_safe_join(ranged, light(starts), parts)
+    rows = rows.withColumn("best", better(least(value).over(own.rowsBetween(Window.unboundedPreceding, 0)), "_best")).withColumn("_row", F.row_number().over(own) + F.col("_rows"))
+    prior = F.lag("best").over(own)
+    prior = F.when(F.row_number().over(own) == 1, F.col("_best")).otherwise(prior)
+    rows = staged(rows.withColumn("_at", F.when(prior.isNull() | (F.col("best") != prior), F.col("_row"))))
+    reached = rows.groupBy(*parts).agg(F.max("_at").alias("_at"))
+    reached = reached.select(*parts, F.max("_at").over(before).alias("_reached"))
+    rows = null_safe_join(rows, light(reached), parts)
+    last = F.greatest(F.max("_at").over(own.rowsBetween(Window.unboundedPreceding, 0)), "_reached")
+    rows = rows.withColumn("since_best", (F.col("_row") - last).cast("int"))
     if patience is not None:
         rows = rows.withColumn("stop", F.col("since_best") >= patience)
-    return rows.drop("_row", "_at")
+    return rows.drop("_row", "_at", "_range", "_best", "_rows", "_reached")
 
 
 def preference_metrics(rows: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
