@@ -21,7 +21,7 @@ def vocabulary(docs: DataFrame, text: str = "text", special: int = 1) -> DataFra
 
 
 #: Terms of a vocabulary that each worker holds: those in most texts. Only words beyond them are joined.
-VOCABULARY = 1_000_000
+VOCABULARY = 200_000
 
 
 def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
