@@ -21,7 +21,7 @@ def vocabulary(docs: DataFrame, text: str = "text", special: int = 1) -> DataFra
 
 
 #: Terms of a vocabulary that each worker holds: those in most texts. Only words beyond them are joined.
-VOCABULARY = 200_000
+VOCABULARY = 50_000
 
 
 def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
@@ -37,8 +37,8 @@ def encode_words(docs: DataFrame, vocab: DataFrame, key: str = "doc_id", text: s
     vocab = staged(vocab.select("term", F.col("id").cast("int").alias("id"), often.alias("often")))
     total = vocab.count()
     held = vocab if total <= VOCABULARY else vocab.orderBy(F.desc("often"), "term").limit(VOCABULARY)
-    known = held.select("term", "id").toPandas()
-    shared = spark.sparkContext.broadcast((known["term"].tolist(), known["id"].to_numpy(np.int32)))  # VOCABULARY terms at most
+    known = held.select("term", "id").toArrow()
+    shared = spark.sparkContext.broadcast((known["term"].to_pylist(), known["id"].to_numpy()))  # VOCABULARY terms at most
     waiting = total > VOCABULARY
     name, kind = docs.schema[key].name, docs.schema[key].dataType.simpleString()
 
