@@ -71,3 +71,16 @@ def test_in_spark(spark):
     df = spark.createDataFrame([(1, "ÄB 漢字 c.d"), (2, None), (3, "")], "doc_id long, text string")
     assert [r["t"] for r in df.orderBy("doc_id").select(tokens(F.col("text"), "standard").alias("t")).collect()] == [["äb", "漢", "字", "c.d"], [], []]
     assert [tuple(r) for r in token_offsets(df, mode="standard").orderBy("pos").collect()] == [(1, 0, "äb", 0, 2), (1, 1, "漢", 3, 4), (1, 2, "字", 4, 5), (1, 3, "c.d", 6, 9)]
+
+
+def test_tokens_come_back_in_bounded_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(W, "RUN", 40)
+    texts = ["Ab 漢字 cd. " * 5, None, "", "x", "Ünï-1 b"] * 3
+    want = [[(t[a:b].lower(), a, b) for a, b in own] for t, own in zip(texts, W.spans_of(texts), strict=True)]
+    placed = list(W._tokens_of(iter([pa.array(texts, pa.string()), pa.array([], pa.string())]), True, True))
+    assert max(len(x.flatten()) for x in placed) <= 40  # the tokens of a run, not of a batch
+    assert [[(x["token"], x["start"], x["end"]) for x in own] for part in placed for own in part.to_pylist()] == want
+    words = [own for part in W._tokens_of(iter([pa.array(texts, pa.string())]), True, False) for own in part.to_pylist()]
+    assert words == [[t for t, _, _ in own] for own in want]
