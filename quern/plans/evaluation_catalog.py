@@ -393,8 +393,7 @@ def resume_grams(t):
 @query(f"{PACK_SQL} SELECT chunk::INTEGER AS chunk, example::INTEGER AS example, sum(c * (c + 1) / 2)::BIGINT AS seen FROM (SELECT chunk, example, doc, count(*) AS c FROM x GROUP BY ALL) GROUP BY chunk, example")
 def boundary_masks(t):
     """Cells of each example's mask that are open; the SQL counts pairs within documents."""
-    rows = _packed(t).select("chunk", "example", examples.boundary_mask(F.col("doc_ids")).alias("m"))
-    return rows.select("chunk", "example", F.aggregate("m", F.lit(0).cast("long"), lambda a, row: a + F.size(F.filter(row, lambda x: x))).alias("seen"))
+    return _packed(t).select("chunk", "example", examples.open_cells(F.col("doc_ids")).alias("seen"))
 
 
 @query(

@@ -229,3 +229,27 @@ def test_best_threshold_is_that_of_a_plain_loop(spark):
             best, at = now, doubt
     got = scoring.best_threshold(spark.createDataFrame(rows, "doubt double, score double, has_answer boolean")).first()
     assert abs(got["best"] - 100 * (best + sum(not r[2] for r in rows)) / len(rows)) < 1e-9 and got["threshold"] == at
+
+
+def test_open_cells_equal_the_masks(spark, monkeypatch):
+    rows = [([0, 0, 1, 1, 1],), ([3, 1, 3],), ([2] * 4,), ([],), (None,), ([1, 2, 1],)]
+    df = spark.createDataFrame(rows, "doc_ids array<int>")
+    monkeypatch.setattr(examples, "CELLS", 9)
+    mask = F.flatten(examples.boundary_mask(F.col("doc_ids")))
+    out = df.select(examples.open_cells(F.col("doc_ids")).alias("n"), F.size(F.filter(mask, lambda x: x)).alias("want"), "doc_ids").collect()
+    assert [r["n"] for r in out] == [None if r["doc_ids"] is None else r["want"] for r in out]
+    assert "ArrowEvalPython" in df.select(examples.open_cells(F.col("doc_ids")))._jdf.queryExecution().executedPlan().toString()  # no lambda over 512 x 512 cells
+
+
+def test_following_value_by_ranges(spark):
+    from quern.operators.staging import with_following
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame([(i * 3, None if i % 5 == 0 else f"v{i}") for i in range(300)], "k long, v string")
+        out = with_following(df, "k", "v", "n")
+        rows, tasks = out.orderBy("k").collect(), out.groupBy(F.spark_partition_id()).count().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["n"] for r in rows] == [None if i % 5 == 0 or i == 300 else f"v{i}" for i in range(1, 301)]
+    assert tasks > 1  # not one for all rows
