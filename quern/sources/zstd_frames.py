@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from quern.sources.token_files import file_system_of
 
-#: Compressed bytes of a run, bytes of a piece of decoded text, and lines of a batch.
-CHUNK, PIECE, LINES = 8 << 20, 1 << 20, 10_000
+#: Compressed bytes of a run, bytes of a piece of decoded text, and lines and (about) bytes of a batch.
+CHUNK, PIECE, LINES, BATCH = 8 << 20, 1 << 20, 10_000, 8 << 20
 _MAGIC, _SKIPPED = b"\x28\xb5\x2f\xfd", range(0x184D2A50, 0x184D2A60)
 
 
@@ -133,7 +133,7 @@ def lines(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                number, held, found = r["start"], r["before"], []
+                number, held, found, size = r["start"], r["before"], [], 0
 
                 def told(r=r) -> pa.RecordBatch:
                     values = pa.array([x.removesuffix(b"\r").decode() for x in found], pa.string())
@@ -145,10 +145,11 @@ def lines(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
                         continue
                     first, *inner, tail = piece.split(b"\n")
                     found += [held + first, *inner]
+                    size += len(held) + len(piece)
                     held = tail
-                    if len(found) >= LINES:
+                    if len(found) >= LINES or size >= BATCH:
                         yield told()
-                        number, found = number + len(found), []
+                        number, found, size = number + len(found), [], 0
                 if r["last"] and held:
                     found.append(held)
                 if found:

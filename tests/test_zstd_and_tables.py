@@ -78,3 +78,28 @@ def test_sketches_merge(spark):
     nulls = spark.createDataFrame([("a", None), ("b", 1.5), (None, 2.5)], "g string, v double")
     assert {r["g"]: len(r["hashes"]) for r in T.smallest_hashes(nulls, ["g"], F.col("v")).collect()} == {"a": 0, "b": 1, None: 1}
     assert len(T.smallest_hashes(df, [], F.col("v"), 100).first()["hashes"]) == 100
+
+
+def test_documents_go_to_a_file_for_each_range(spark, sf, tmp_path, monkeypatch):
+    from quern.plans import corpus_catalog
+
+    monkeypatch.setattr(corpus_catalog, "_folder", lambda name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = corpus_catalog.zstd_frames(lambda name: spark.read.parquet(f"{sf}/{name}.parquet")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    ids = [r["doc_id"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").orderBy("doc_id").collect()]
+    assert sorted((r["line_num"], r["doc_id"]) for r in rows) == list(enumerate(ids))
+    assert len([p for p in tmp_path.glob("zstd/*.zst") if p.stat().st_size]) > 1
+
+
+def test_batches_of_long_lines_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(zstd_frames, "BATCH", 2_000_000)
+    written(tmp_path / "a.zst", b"".join(b"%d" % i * 300_000 + b"\n" for i in range(10)), [500_000], random.Random(1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "0")
+    try:
+        sizes = zstd_frames.lines(spark, f"{tmp_path}/a.zst").mapInArrow(lambda batches: (b.select(["line_num"]) for b in batches), "line_num long").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["line_num"] for r in sizes) == list(range(10))
