@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,14 +93,15 @@ def spans_score(predicted: Sequence[str], gold: Sequence[str]) -> tuple[float, f
     return exact, round(total / max(len(g), len(p)), 2)
 
 
-@F.pandas_udf(T.StructType().add("exact", T.DoubleType()).add("f1", T.DoubleType()))
-def spans_match(predicted: pd.Series, golds: pd.Series) -> pd.DataFrame:
-    """The best scores of predicted spans over several gold answers (arrays of arrays of spans)."""
-    out = []
-    for p, gs in zip(predicted, golds, strict=True):
-        scores = [spans_score(list(p), list(g)) for g in gs] or [(0.0, 0.0)]
-        out.append((max(s[0] for s in scores), max(s[1] for s in scores)))
-    return pd.DataFrame(out, columns=["exact", "f1"])
+@F.arrow_udf(T.StructType().add("exact", T.DoubleType()).add("f1", T.DoubleType()))
+def spans_match(predicted: pa.Array, golds: pa.Array) -> pa.Array:
+    """The best scores of predicted spans over several gold answers (arrays of arrays of spans); a row's spans are held at a time."""
+    best = np.zeros((2, len(predicted)))
+    for i, (p, gs) in enumerate(zip(predicted, golds, strict=True)):
+        own = p.as_py()
+        scores = [spans_score(own, g) for g in gs.as_py()]
+        best[:, i] = np.max(scores, axis=0) if scores else 0.0
+    return pa.StructArray.from_arrays([pa.array(best[0]), pa.array(best[1])], names=["exact", "f1"])
 
 
 def gold_answers(answers: Column) -> Column:
