@@ -253,3 +253,26 @@ def test_following_value_by_ranges(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [r["n"] for r in rows] == [None if i % 5 == 0 or i == 300 else f"v{i}" for i in range(1, 301)]
     assert tasks > 1  # not one for all rows
+
+
+def test_batches_are_cut_into_slices(monkeypatch):
+    import pyarrow as pa
+
+    from quern.operators import staging
+
+    monkeypatch.setattr(staging, "SLICE", 1_000)
+    batch = pa.RecordBatch.from_pydict({"i": list(range(500)), "t": ["x" * (i % 50) for i in range(500)]})
+    parts = list(staging.slices(batch))
+    assert pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
+    assert len(parts) > 10 and max(p.nbytes for p in parts) < 2_000
+    assert [len(p) for p in staging.slices(batch.slice(0, 0))] == [0]
+
+
+def test_encoding_by_slices(spark, monkeypatch):
+    """Slices of lists keep their offsets: the same ids whatever the size of a slice."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(0, cast(id % 7 as int)), i -> concat('w', (id * i) % 11))) AS text").coalesce(1)
+    vocab = examples.vocabulary(docs)
+    want = {r["doc_id"]: r["ids"] for r in examples.encode_words(docs, vocab).collect()}
+    real = examples.slices
+    monkeypatch.setattr(examples, "slices", lambda batch: (part for whole in real(batch) for part in (whole.slice(lo, 7) for lo in range(0, len(whole), 7))))
+    assert {r["doc_id"]: r["ids"] for r in examples.encode_words(docs, vocab).collect()} == want
