@@ -50,3 +50,17 @@ def test_a_batch_counts_once(spark, tmp_path, monkeypatch):
     assert not ledger.commit(2, spark.createDataFrame([(5, "a b c d")], schema), lambda new: contamination.hits(new, grams))
     documents, found, position = incremental.search_state(ledger)
     assert position == 6 and documents.count() == 3 and {r["gram"]: r["documents"] for r in found.collect()} == {"a b c": 3, "b c d": 3}
+
+
+def test_a_batch_of_streamed_grams_is_searched_by_all_cores(spark, sf, monkeypatch):
+    from pathlib import Path
+
+    from quern.plans import corpus_catalog
+
+    asked, search = [], incremental.decontaminate_stream
+    monkeypatch.setattr(incremental, "decontaminate_stream", lambda spark, path, *rest: asked.append((path, rest[-1])) or search(spark, path, *rest))
+    found = corpus_catalog.streamed_grams(lambda name: spark.read.parquet(f"{sf}/{name}.parquet"))
+    assert found.first()["position"] == spark.read.parquet(f"{sf}/documents.parquet").count()
+    path, files = asked[0]
+    assert files >= spark.sparkContext.defaultParallelism > 1
+    assert len(list(Path(path.removeprefix("file:")).glob("*.parquet"))) == 3 * files
