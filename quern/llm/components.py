@@ -4,6 +4,8 @@ Each round, every node points to its smallest neighbour (or itself), the pointer
 links are rewritten to these ends; what stays are links between ends, at most half as many nodes. A hub needs nothing
 special in the first step (its smallest neighbour is a minimum, combined before the shuffle); in the lookups a table
 of at most BROADCAST_ROWS rows is broadcast, a larger one is joined by a shuffle whose skewed side Spark may split.
+Links as few as that are in one partition from then on: no step of a round shuffles them, however many partitions a shuffle
+has. More stay dealt. Links are computed once, each for both its directions.
 """
 
 from __future__ import annotations
@@ -44,11 +46,14 @@ def connected_components(links: DataFrame) -> DataFrame:
     links: (a, b) longs, in any direction, repeats and self-links allowed. Null ends link nothing.
     """
     ways = links.filter(F.col("a") != F.col("b"))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
     found: DataFrame | None = None
     while True:
-        ways = checkpointed(ways.select("a", "b").unionByName(ways.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-        if ways.isEmpty():
+        ways = checkpointed(ways.select(both).select("way.a", "way.b").distinct())
+        many = ways.count()
+        if not many:
             break
+        ways = ways.coalesce(1) if many <= BROADCAST_ROWS else ways
         pointers = ways.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("to"))
         ends, n = _ends(pointers)
         found = ends if found is None else checkpointed(_lookup(found, "to", ends, n))

@@ -45,6 +45,8 @@ WORD_RATIO, STEM_RATIO = 12, 80
 _CACHE = 150_000
 #: Windows of words whose sequences are held at a time.
 HELD_WINDOWS = 4_096
+#: Words whose kernel values, or whose part of a Newton step, are made at a time.
+ROWS = 2_048
 
 #: Letters and separators share no character, so that a run of either is read in one way only.
 _SPACED = re.compile(r"(?<!\w)(?:[^\W_][\s.\-_*]++){3,}[^\W_](?!\w)")
@@ -131,7 +133,10 @@ class Landmarks:
         self.root = vectors / np.sqrt(np.maximum(values, 1e-6)) @ vectors.T
 
     def kernel(self, words: list[str]) -> np.ndarray:
-        return np.vstack([self._kernel(words[lo : lo + 2_048]) for lo in range(0, max(1, len(words)), 2_048)])
+        out = np.zeros((len(words), len(self.words)))
+        for lo in range(0, len(words), ROWS):
+            out[lo : lo + ROWS] = self._kernel(words[lo : lo + ROWS])
+        return out
 
     def _kernel(self, words: list[str]) -> np.ndarray:
         out = np.zeros((len(words), len(self.words)))
@@ -148,14 +153,18 @@ class Landmarks:
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-4, rounds: int = 25) -> np.ndarray:
-    """Weights (the last is the intercept) of a linear machine with squared hinge loss, by Newton's method."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
+    """Weights (the last is the intercept) of a linear machine with squared hinge loss, by Newton's method; x is never copied whole."""
+    w, penalty = np.zeros(x.shape[1] + 1), ridge * np.eye(x.shape[1] + 1)
     penalty[-1, -1] = 1e-9
     for _ in range(rounds):
-        active = y * (x @ w) < 1
-        a, k = x[active], weight[active]
-        new = np.linalg.solve((a * k[:, None]).T @ a + penalty, a.T @ (k * y[active]))
+        curved, slope = penalty.copy(), np.zeros(len(w))
+        for lo in range(0, len(x), ROWS):
+            a = np.hstack([x[lo : lo + ROWS], np.ones((len(x[lo : lo + ROWS]), 1))])
+            active = y[lo : lo + ROWS] * (a @ w) < 1
+            a, k = a[active], weight[lo : lo + ROWS][active]
+            curved += (a * k[:, None]).T @ a
+            slope += a.T @ (k * y[lo : lo + ROWS][active])
+        new = np.linalg.solve(curved, slope)
         if np.abs(new - w).max() < 1e-7:
             break
         w = new
@@ -235,8 +244,12 @@ class SequenceMachine:
         return self
 
     def _fit_words(self, texts: list[str], toxic: np.ndarray, rounds: int) -> None:
-        sentences = [[(set(words_of(s))) for s in _SENTENCE.split(t) if s] for t in texts]
-        documents = [set().union(*s) for s in sentences]
+        one: dict[str, str] = {}  # a word is held once, and sentences of toxic documents alone
+        documents, sentences = [], []
+        for t, y in zip(texts, toxic, strict=True):
+            found = [{one.setdefault(w, w) for w in words_of(s)} for s in _SENTENCE.split(t) if s]
+            documents.append(set().union(*found))
+            sentences.extend(found if y else [])
         df = {0: Counter(), 1: Counter()}
         for found, y in zip(documents, toxic, strict=True):
             df[int(y)].update(found)
@@ -272,7 +285,7 @@ class SequenceMachine:
         self.landmarks = Landmarks([*chosen, *_spread(hard, LANDMARKS // 2), *clean[:: max(1, len(clean) // (LANDMARKS // 2))][: LANDMARKS // 2]])
         z_clean = self.landmarks.kernel(clean) @ self.landmarks.root
         rank = {w: z for z, w in signs}
-        positive = [s for found, y in zip(sentences, toxic, strict=True) if y for s in found if s & rank.keys()]
+        positive = [s for s in sentences if s & rank.keys()]
         witness = [max(s & rank.keys(), key=lambda w: (rank[w], w)) for s in positive]
         for _ in range(rounds):
             kinds = Counter(witness)
@@ -283,7 +296,7 @@ class SequenceMachine:
             k = np.where(y > 0, k / k[: len(words)].sum(), k / len(clean))
             w = squared_hinge(z, y, k)
             for _ in range(2):  # clean words near the border weigh as much as all toxic ones
-                close = np.hstack([z, np.ones((len(z), 1))]) @ w > -1
+                close = z @ w[:-1] + w[-1] > -1
                 k = np.where(y > 0, k, np.where(close, 1 / max(1, (close & (y < 0)).sum()), 0.1 / len(clean)))
                 w = squared_hinge(z, y, k)
             beta = self.landmarks.root @ w[:-1]

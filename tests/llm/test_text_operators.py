@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -494,3 +495,17 @@ def test_runs_of_separators_take_no_time(filler):
     began = time.perf_counter()
     words = words_of("Name: " + filler * 10_000 + "John Smith, i d i o t")
     assert time.perf_counter() - began < 1 and any(w.endswith("john") for w in words) and ("idiot" in words or filler == "a ")
+
+
+def test_the_fit_holds_no_copies_of_its_words():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(20_000, 60)), np.where(np.arange(20_000) % 5 == 0, 1.0, -1.0)
+    x[:, 0] += y
+    tracemalloc.start()
+    w = toxicity.squared_hinge(x, y, np.full(len(x), 1 / len(x)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.hstack([x, np.ones((len(x), 1))])
+    active = y * (whole @ w) < 1
+    slope = whole[active].T @ (y[active] - whole[active] @ w) / len(x) - 1e-4 * np.append(w[:-1], 0)
+    assert np.abs(slope).max() < 1e-6 and peak < x.nbytes / 2

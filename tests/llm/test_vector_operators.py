@@ -1,6 +1,9 @@
 """The vector operators against brute force, and their defined results for odd rows."""
 
+import os
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +143,18 @@ def test_components_of_chains_and_hubs(spark):
     assert all(got[i] == 1_000 for i in range(1_000, 1_401)) and all(got[i] == 5 for i in range(2_000, 2_300)) and 7 not in got
 
 
+def test_links_that_are_others_each_time_they_are_computed(spark):
+    """A task may give any links that join the same nodes, so a second computation may give others."""
+
+    def star(batches):
+        for batch in batches:
+            root = int.from_bytes(os.urandom(4), "little") % 300
+            yield pd.DataFrame({"a": [root] * 300, "b": range(300)})
+
+    got = components.connected_components(spark.range(1, numPartitions=1).mapInPandas(star, "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [(i, 0) for i in range(300)]
+
+
 def test_lookups_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(components, "BROADCAST_ROWS", 0)
     test_components_of_chains_and_hubs(spark)
