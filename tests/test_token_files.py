@@ -87,3 +87,15 @@ def test_an_attempt_that_was_repeated_counts_once(tmp_path):
 def test_nothing_to_write(spark, tmp_path):
     assert tf.write_token_files(spark.createDataFrame([], SCHEMA), str(tmp_path / "t"), parts=3).count() == 0
     assert tf.examples(spark, str(tmp_path / "t"), 8).count() == 0
+
+
+def test_a_task_reads_many_small_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, [i] * (i % 5 + 3)) for i in range(400)], "doc_id long, ids array<int>")
+    back = tf.write_token_files(rows, str(tmp_path), docs_per_part=2)
+    made = tf.examples(spark, str(tmp_path), 4)
+    most = 8 * spark.sparkContext.defaultParallelism
+    assert back.rdd.getNumPartitions() <= most < 200 and made.rdd.getNumPartitions() <= most
+    assert [(r["part"], r["doc"], r["ids"]) for r in back.orderBy("part", "doc").collect()] == [(i // 2, i % 2, [i] * (i % 5 + 3)) for i in range(400)]
+    laid = [[i] * (i % 5 + 3) + [i + 1] * ((i + 1) % 5 + 3) for i in range(0, 400, 2)]
+    told = [(p, e, x[e * 4 : e * 4 + 4], x[e * 4 + 1 : e * 4 + 5]) for p, x in enumerate(laid) for e in range((len(x) - 1) // 4)]
+    assert [tuple(r) for r in made.orderBy("part", "example").collect()] == told
