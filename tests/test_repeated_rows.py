@@ -1,5 +1,6 @@
 """Rows of one key with different texts, repeated rows and null keys, in what joins by document."""
 
+import numpy as np
 import pytest
 
 from quern.operators import contamination, dedup, gram_index, hash_filter
@@ -115,3 +116,23 @@ def test_texts_of_copies_are_not_sorted(spark, monkeypatch, most):
     for i in range(40_000):
         least[f"text {i % 900}"] = min(i % 1_000, least.get(f"text {i % 900}", i))
     assert {r["text"]: r["doc_id"] for r in out.collect()} == least and out.count() == len(least)
+
+
+def test_runs_are_hashed_from_their_tokens(spark):
+    """Each token is hashed once, whatever the lengths of grams; runs in arrays have the hashes of grams, and none reaches into the next text."""
+    from pyspark.sql import functions as F
+
+    texts = [(1, "a b c d e a b"), (2, ""), (3, None), (4, "c"), (5, "a a a a a a"), (6, "É b Ünïcode b b")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    words = contamination.tokens(F.col("text"))
+    for n in (1, 2, 3, 13, 70):
+        for r in docs.select(F.transform(words, lambda w: F.xxhash64(w)).alias("t"), contamination.let(words, contamination._run_hashes(n)).alias("h")).collect():
+            assert gram_index.run_hashes(np.array(r["t"] or [], np.int64), n).tolist() == (r["h"] or [])
+    every = contamination.benchmark_grams(docs.unionByName(spark.createDataFrame([(7, "b c a")], docs.schema)).withColumnRenamed("doc_id", "item_id"), 2).unionByName(
+        contamination.benchmark_grams(spark.createDataFrame([(8, "d e a"), (9, "a b c")], "item_id long, text string"), 3)
+    )
+    found = contamination.hits(docs, every).select("doc_id", "pos", "n", "gram").collect()
+    expected = {(k, i, n, " ".join(w[i : i + n])) for k, t in texts for w in [(t or "").lower().split()] for n in (2, 3) for i in range(len(w) - n + 1) if n == 2 or w[i : i + n] in (["d", "e", "a"], ["a", "b", "c"])}
+    assert {tuple(r) for r in found} == expected and len(found) == len(expected)
+    plan = contamination.suspects(docs.select("doc_id", contamination.digest("text"), F.transform(words, lambda w: F.xxhash64(w)).alias("tokens")), gram_index.passing_grams(every), "doc_id")
+    assert "slice(" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() >= len(expected)
